@@ -76,22 +76,13 @@ def has_pe_name_extension(col: Column) -> Column:
     return name_extension(col).isin(*PE_EXTENSIONS)
 
 
-def under_prefix(lowered_path: Column, prefix: str) -> Column:
-    """``lowered_path`` is ``prefix`` or lies below it (``prefix`` already normalised)."""
-    return (
-        (lowered_path == prefix)
-        | F.startswith(lowered_path, F.lit(prefix + BACKSLASH))
-        | F.startswith(lowered_path, F.lit(prefix + "/"))
-    )
-
-
 def self_and_ancestors(col: Column) -> Column:
-    """Array of the path and each of its ancestors, cut before either separator."""
-    cuts = F.filter(
-        F.sequence(F.lit(1), F.length(col)),
-        lambda i: (i == F.length(col)) | F.substring(col, i + 1, F.lit(1)).isin(BACKSLASH, "/"),
+    """Array of each ancestor and the path itself, cut before a separator of either kind."""
+    parts = F.length(col) - F.length(F.replace(slashed(col), F.lit("/"), F.lit(""))) + 1
+    return F.transform(
+        F.sequence(F.lit(1), parts),
+        lambda i: F.left(col, F.length(F.call_function("substring_index", slashed(col), F.lit("/"), i))),
     )
-    return F.when(F.length(col) > 0, F.transform(cuts, lambda i: F.substring(col, F.lit(1), i)))
 
 
 def volume_label(mount: Column, guid_path: Column) -> Column:

@@ -53,7 +53,7 @@ class LastOldName(StatefulProcessor):
         old = held[0] if held else None
         before = old
         found = []
-        for kind, path, carries in zip(batch["kind"], batch["path"], batch["_old_half"]):
+        for kind, path, carries in zip(batch["kind"], batch["path"], batch["old_half"]):
             found.append(old)
             if carries:
                 old = path
@@ -78,10 +78,10 @@ class LastEmission(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["_us", "volume", "usn"], kind="stable")
+        batch = batch.sort_values(["at_us", "volume", "usn"], kind="stable")
         held = self.last.get()
         due = held[0] + self.window_us if held else None
-        times = batch["_us"].to_numpy()
+        times = batch["at_us"].to_numpy()
         keep = []
         at = 0 if due is None else int(np.searchsorted(times, due))
         while at < len(times):
@@ -89,7 +89,7 @@ class LastEmission(StatefulProcessor):
             at = int(np.searchsorted(times, times[at] + self.window_us))
         if keep:
             self.last.update((int(times[keep[-1]]),))
-        yield batch.iloc[keep].drop(columns=["_us"])
+        yield batch.iloc[keep].drop(columns=["at_us"])
 
     def close(self) -> None:
         pass
@@ -105,7 +105,7 @@ def pair_renames_stream(prepared: DataFrame, state_ttl: str) -> DataFrame:
     )
     renames = (
         prepared.filter((F.col("kind") == "Renamed") | old_half)
-        .select(*EVENT_COLUMNS, old_half.alias("_old_half"))
+        .select(*EVENT_COLUMNS, old_half.alias("old_half"))
         .groupBy("volume", "frn")
         .transformWithStateInPandas(
             statefulProcessor=LastOldName(ttl_millis(state_ttl)),
@@ -122,7 +122,7 @@ def throttle_stream(events: DataFrame, window_ms: int, state_ttl: str) -> DataFr
     use_rocksdb(events)
     ttl = max(ttl_millis(state_ttl), window_ms)
     return (
-        events.withColumn("_us", F.unix_micros("ts"))
+        events.withColumn("at_us", F.unix_micros("ts"))
         .groupBy("path", "kind")
         .transformWithStateInPandas(
             statefulProcessor=LastEmission(window_ms * 1000, ttl),
