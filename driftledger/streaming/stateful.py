@@ -20,6 +20,7 @@ from ..functions import values
 from ..operators.events import EVENT_COLUMNS, is_event
 
 _STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _MILLIS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
@@ -33,9 +34,16 @@ def ttl_millis(text: str) -> int:
     return int(found.group(1)) * _MILLIS[found.group(2)]
 
 
-def use_rocksdb(df: DataFrame) -> None:
-    """Keyed state with a lifetime needs the RocksDB provider."""
-    df.sparkSession.conf.set(_STATE_PROVIDER, _ROCKSDB)
+def set_up_state(df: DataFrame) -> None:
+    """Session settings the keyed state needs, read when a query starts.
+
+    State with a lifetime needs RocksDB. Such state asks for another micro-batch after every
+    one, so batches without data are switched off: an ``availableNow`` run would never end.
+    Expired state then goes with the next batch that has data.
+    """
+    conf = df.sparkSession.conf
+    conf.set(_STATE_PROVIDER, _ROCKSDB)
+    conf.set(_EMPTY_BATCHES, "false")
 
 
 class LastOldName(StatefulProcessor):
@@ -97,7 +105,7 @@ class LastEmission(StatefulProcessor):
 
 def pair_renames_stream(prepared: DataFrame, state_ttl: str) -> DataFrame:
     """Classified events of a stream, renames paired through keyed state."""
-    use_rocksdb(prepared)
+    set_up_state(prepared)
     old_half = values.has_bits(F.col("reason"), "RENAME_OLD_NAME")
     kept = is_event(F.col("kind"), F.col("reason"))
     others = prepared.filter(kept & (F.col("kind") != "Renamed")).select(
@@ -119,7 +127,7 @@ def pair_renames_stream(prepared: DataFrame, state_ttl: str) -> DataFrame:
 
 def throttle_stream(events: DataFrame, window_ms: int, state_ttl: str) -> DataFrame:
     """Throttle of a stream, keyed by path and kind."""
-    use_rocksdb(events)
+    set_up_state(events)
     ttl = max(ttl_millis(state_ttl), window_ms)
     return (
         events.withColumn("at_us", F.unix_micros("ts"))
