@@ -49,7 +49,7 @@ def last_component(col: Column) -> Column:
 def basename(col: Column) -> Column:
     """Last component, ignoring trailing separators; a fixed name when there is none."""
     base = F.substring_index(F.rtrim(slashed(col), F.lit("/")), "/", -1)
-    nameless = base.isin("", "..") | base.rlike("^[A-Za-z]:$")
+    nameless = base.isin("", "..") | ((F.length(base) == 2) & starts_with_drive(base))
     return F.when(nameless, F.lit(UNNAMED)).otherwise(base)
 
 
@@ -90,32 +90,35 @@ def volume_label(mount: Column, guid_path: Column) -> Column:
     return F.coalesce(F.rtrim(mount, F.lit(BACKSLASH)), guid_path)
 
 
+def starts_with_drive(col: Column) -> Column:
+    """A letter and a colon, tested without a pattern: this runs for every change record."""
+    letter = F.substring(col, 1, 1)
+    is_letter = letter.between("A", "Z") | letter.between("a", "z")
+    return (F.substring(col, 2, 1) == ":") & is_letter
+
+
 def record_path(path: Column, mount: Column) -> Column:
     """Path of a change record in plain drive form.
 
     With a drive mount: drop the ``\\\\?\\X:`` or ``\\\\.\\X:`` form of that drive, and put the
     drive in front of unqualified paths. Otherwise strip ``\\\\?\\`` before any drive letter;
-    GUID paths stay as they are.
+    GUID paths stay as they are. Paths that already start with a drive, nearly all of them,
+    leave at the first test.
     """
     label = F.rtrim(F.rtrim(mount, F.lit(BACKSLASH)), F.lit("/"))
-    on_drive = F.coalesce(label.rlike("^[A-Za-z]:$"), F.lit(False))
-    head = ascii_lower(F.substring(path, 1, 6))
-    device = F.lit("\\\\.\\")
+    on_drive = F.coalesce((F.length(label) == 2) & starts_with_drive(label), F.lit(False))
     extended = F.lit("\\\\?\\")
-    own_drive = head.isin(
-        F.concat(extended, ascii_lower(label)), F.concat(device, ascii_lower(label))
-    )
-    qualified = (
-        path.rlike("^[A-Za-z]:")
-        | F.startswith(path, F.lit("\\\\"))
-        | F.startswith(path, F.lit("//"))
+    own_drive = F.substring(path, 1, 4).isin("\\\\?\\", "\\\\.\\") & (
+        ascii_lower(F.substring(path, 5, 2)) == ascii_lower(label)
     )
+    network = F.startswith(path, F.lit("\\\\")) | F.startswith(path, F.lit("//"))
     rooted = F.startswith(path, F.lit(BACKSLASH)) | F.startswith(path, F.lit("/"))
-    other_drive = F.startswith(path, extended) & F.substring(path, 5, 2).rlike("^[A-Za-z]:")
+    other_drive = F.startswith(path, extended) & starts_with_drive(F.substring(path, 5, 2))
     return (
-        F.when(on_drive & own_drive, F.concat(label, F.substring(path, 7, _REST)))
-        .when(on_drive & ~qualified & rooted, F.concat(label, path))
-        .when(on_drive & ~qualified, F.concat(label, F.lit(BACKSLASH), path))
+        F.when(starts_with_drive(path), path)
+        .when(on_drive & own_drive, F.concat(label, F.substring(path, 7, _REST)))
+        .when(on_drive & ~network & rooted, F.concat(label, path))
+        .when(on_drive & ~network, F.concat(label, F.lit(BACKSLASH), path))
         .when(other_drive, F.substring(path, 5, _REST))
         .otherwise(path)
     )

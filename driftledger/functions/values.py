@@ -65,6 +65,11 @@ def short_hash(sha256: Column) -> Column:
     return F.coalesce(F.substring(sha256, 1, 16), F.lit(NO_HASH))
 
 
+def floor_div(col: Column, width: int) -> Column:
+    """Integer division rounding down, exact also where a double quotient would round."""
+    return ((col - F.pmod(col, F.lit(width))) / F.lit(width)).cast("long")
+
+
 def has_bits(reason: Column, *names: str) -> Column:
     """Any of the named reason bits is set."""
     mask = 0

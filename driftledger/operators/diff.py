@@ -129,6 +129,32 @@ def replaced(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataF
     return _report(joined, F.lit("replaced"), F.lit("Replaced"), F.col("before_volume"))
 
 
+def replaced_count(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
+    """Number of replaced pairs: all pairs of a path minus those of a file with itself."""
+    keep = path_filter(options)
+    sides = []
+    for df, is_before in ((before, True), (after, False)):
+        kept = keep.keep(F.col("path"))
+        df = _files(df, options)
+        df = df if kept is None else df.filter(kept)
+        sides.append(
+            df.select(
+                "path", "volume", "frn",
+                F.lit(int(is_before)).cast("long").alias("_b"),
+                F.lit(int(not is_before)).cast("long").alias("_a"),
+            )
+        )
+    per_file = (
+        sides[0].unionByName(sides[1]).groupBy("path", "volume", "frn")
+        .agg(F.sum("_b").alias("_b"), F.sum("_a").alias("_a"))
+    )
+    per_path = per_file.groupBy("path", "volume").agg(
+        (F.sum("_b") * F.sum("_a") - F.sum(F.col("_b") * F.col("_a"))).alias("_pairs")
+    )
+    total = F.coalesce(F.sum("_pairs"), F.lit(0).cast("long"))
+    return per_path.agg(total.alias("n")).select(F.lit("replaced").alias("category"), "n")
+
+
 # Order inside a category, used by every limit so that it is repeatable.
 CATEGORY_ORDER = {
     "added": ("volume", "after_frn"),

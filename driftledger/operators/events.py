@@ -78,7 +78,7 @@ def pair_renames(prepared: DataFrame, piece: int = USN_PIECE) -> DataFrame:
     is_rename = F.coalesce(F.col("kind") == "Renamed", F.lit(False))
     old_half = values.has_bits(F.col("reason"), "RENAME_OLD_NAME")
     halves = prepared.filter(is_rename | old_half).withColumn(
-        "_piece", F.floor(F.col("usn") / F.lit(piece)).cast("long")
+        "_piece", values.floor_div(F.col("usn"), piece)
     )
     # a record that is both old and new name must not answer itself: strictly smaller usn
     earlier = (

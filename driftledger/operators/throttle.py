@@ -23,8 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import floor_div
+
 # Windows per span: longer spans mean fewer boundaries, shorter ones smaller groups.
-WINDOWS_PER_SPAN = 64
+WINDOWS_PER_SPAN = 16
 
 # Stands for "no emission that matters": far below any timestamp, without overflow.
 NEVER = -(1 << 62)
@@ -71,7 +73,7 @@ def throttle(
 def _spans(instants: DataFrame, window: int, width: int, key: tuple[str, ...]) -> DataFrame:
     """Rows of every span by time, its halo included; spans without own rows are dropped."""
     us = F.col("_us")
-    span = F.floor(us / F.lit(width)).cast("long")
+    span = floor_div(us, width)
     in_last_window = us >= (span + 1) * F.lit(width) - F.lit(window)
     members = F.when(in_last_window, F.array(span, span + 1)).otherwise(F.array(span))
     return (
@@ -103,15 +105,20 @@ def _entries(spans: DataFrame, window: int, width: int, key: tuple[str, ...]) ->
 
 
 def _transfer(window: int, width: int) -> Column:
-    """Per span: possible last emissions before it, and the last emission each one leads to."""
+    """Per span: possible last emissions before it, and the last emission each one leads to.
+
+    Neighbouring entries with the same exit are stored once, by the first of them: orbits merge
+    fast, so a dense halo shrinks to a few steps.
+    """
 
     @F.pandas_udf("struct<enter: array<long>, leave: array<long>>")
     def transfer(span: pd.Series, times: pd.Series) -> pd.DataFrame:
         enter, leave = [], []
         for number, values in zip(span, times):
             entries, exits = span_map(np.asarray(values, dtype=np.int64), int(number), window, width)
-            enter.append(entries)
-            leave.append(exits)
+            steps = np.concatenate([[True], exits[1:] != exits[:-1]])
+            enter.append(entries[steps])
+            leave.append(exits[steps])
         return pd.DataFrame({"enter": enter, "leave": leave})
 
     return transfer
@@ -151,7 +158,7 @@ def _follow(key: tuple[str, ...]):
                 if at is None or at != (here[0], here[1] - 1):
                     carried = NEVER
                 entries[i] = carried
-                carried = leave[np.searchsorted(enter, carried)]
+                carried = leave[np.searchsorted(enter, carried, side="right") - 1]
                 at = here
             batch = batch[[*key, "_span"]].assign(_entry=entries)
             yield batch[batch["_entry"] > NEVER]

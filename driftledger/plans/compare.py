@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import DiffOptions
 from ..operators import diff as ops
@@ -41,3 +42,20 @@ def diff_snapshots(
 ) -> DataFrame:
     """Diff two stored snapshots by name; both names must exist."""
     return diff(store.files(before), store.files(after), options)
+
+
+def diff_summary(
+    before: DataFrame, after: DataFrame, options: DiffOptions | None = None
+) -> DataFrame:
+    """Changes per category, without building the replaced pairs.
+
+    A path held by n files before and m files after makes up to n * m pairs; their number
+    follows from counts per path, so not even a path that holds a third of all files is ever
+    expanded.
+    """
+    options = options or DiffOptions()
+    by_id = ops.summary(ops.frn_changes(before, after, options)).filter("category <> 'replaced'")
+    counts = by_id.unionByName(ops.replaced_count(before, after, options))
+    if options.limit:
+        return counts.select("category", F.least("n", F.lit(options.limit).cast("long")).alias("n"))
+    return counts

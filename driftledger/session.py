@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # call-site capture costs a JVM round trip per column expression while plans are built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -45,7 +45,7 @@ def write_events(
 
 def write_events_with_triage(
     events: DataFrame,
-    content: Callable[[], DataFrame],
+    content: Callable[[DataFrame], DataFrame],
     path: str,
     checkpoint: str,
     available_now: bool = False,
@@ -53,13 +53,16 @@ def write_events_with_triage(
 ) -> StreamingQuery:
     """Events, manifest rows and collected bytes out of every micro-batch.
 
-    ``content`` is called once per batch, so that a batch sees the files as they are then. Each
-    batch owns a folder named by its number; a batch that is run again after a failure
-    overwrites its folder instead of adding to it.
+    ``content`` is called once per batch, so that a batch sees the files as they are then. It
+    gets the batch's distinct ``volume, path`` and may return just those files; what else it
+    returns is dropped before any digest is computed. Each batch owns a folder named by its
+    number; a batch that is run again after a failure overwrites its folder instead of adding
+    to it.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        source = content()
+        wanted = batch.filter(F.col("kind") != "Deleted").select("volume", "path").distinct()
+        source = content(wanted).join(wanted, ["path", "volume"], "left_semi")
         enriched = enrich_events(batch, event_digests(source)).persist()
         try:
             _write_json(event_rows(enriched), f"{path}/events/batch_id={batch_id}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftledger.operators import enrich, ingest
+from driftledger.sources.workdir import fresh_path
 
 BS = "\\"
 # Extension by doc_id % 8
@@ -166,11 +167,17 @@ def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """About 2 % of all files in each of several kinds of change."""
+    """About 2 % of all files in each of several kinds of change.
+
+    The upserted inventory is written once, as a scan would, and read back for both sides.
+    """
+    stored = fresh_path(spark, "inventory")
     base = ingest.latest_records(scan_records(spark, sf_dir).filter(F.col("path") != "")).withColumn(
         "sha256",
         F.when(F.col("name").rlike("(exe|dll|sys)$"), F.sha2(F.concat("name", F.col("size").cast("string")), 256)),
     ).select("volume", "frn", "path", "size", "mtime", "is_dir", "sha256")
+    base.write.parquet(stored)
+    base = spark.read.schema(base.schema).parquet(stored)
     m = F.col("frn") % 50
     after = base.filter(m != 0).select(
         "volume",

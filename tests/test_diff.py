@@ -2,6 +2,7 @@ import pytest
 
 from driftledger import DiffOptions, Rule, diff
 from driftledger.operators import diff as ops
+from driftledger.plans.compare import diff_summary
 from driftledger.operators.report import report_json
 from testbed import derive
 
@@ -56,6 +57,15 @@ def test_replaced_keeps_multiplicity(run):
     assert run(same, same) == [("Replaced", 1, 2), ("Replaced", 2, 1)]
 
 
+def test_counts_without_pairs(spark):
+    """One path holds most files on both sides; the counts match the report."""
+    before = spark.createDataFrame([file(n, "hot" if n % 3 else f"p{n}") for n in range(60)], COLS)
+    after = spark.createDataFrame([file(n + 20, "hot" if n % 4 else f"p{n}") for n in range(60)], COLS)
+    for options in (DiffOptions(), DiffOptions(limit=7), DiffOptions(rules=(Rule("prefix", "hot"),))):
+        want = {r.category: r.n for r in ops.summary(diff(before, after, options)).collect()}
+        assert {r.category: r.n for r in diff_summary(before, after, options).collect()} == want
+
+
 def test_same_id_on_another_volume_is_another_file(run):
     assert run([file(1, "a")], [file(1, "a", volume="D:")]) == [("Added", -1, 1), ("Removed", 1, -1)]
 

@@ -58,7 +58,7 @@ def test_triage_batches_and_tolerated_source(spark, journal, tmp_path):
     content = derive.event_content(spark, "/root/testdata/sf0.001")
     source = union_volumes([stream_records(spark, journal)])
     query = write_events_with_triage(
-        watch(source, WINDOW), lambda: content, str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
+        watch(source, WINDOW), lambda wanted: content, str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
     broken = (
         spark.readStream.schema("value string").text(journal).select(F.raise_error(F.lit("bad")).cast("string").alias("value"))
         .writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
