@@ -26,7 +26,7 @@ HEADLINE = (
     "event_rename", "event_throttle", "event_throttle_hot", "event_enrich", "event_stream",
     "triage_manifest",
 )
-WARM_UP = ("diff_modified", "event_classify")
+WARM_UP = ("diff_inventory", "event_throttle", "ingest_inventory")
 
 
 def consume(df) -> None:

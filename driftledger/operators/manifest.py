@@ -97,7 +97,7 @@ def manifest(changes: DataFrame, digests: DataFrame | None = None) -> DataFrame:
         "_rank",
         counted=F.col("_asks").isNull(),
     )
-    clashes = _clashes(ranked.filter(F.col("_asks").isNotNull()))
+    clashes = _clashes(_reachable_markers(ranked))
     rows = ranked.filter(F.col("_asks").isNull()).join(clashes, [*_GROUP, "_file"], "left")
     suffix = F.col("_rank") - 1 + F.coalesce("_demoted", F.lit(0))
     taken = F.coalesce("_taken", F.array().cast("array<long>"))
@@ -144,6 +144,26 @@ def _numbered_markers(sides: DataFrame) -> DataFrame:
     )
 
 
+def _reachable_markers(ranked: DataFrame) -> DataFrame:
+    """Markers that can matter: ``x`` exists and has rows enough to ever reach their number."""
+    named = [*_GROUP, "_file"]
+    sizes = (
+        ranked.groupBy(*named)
+        .agg(
+            F.count_if(F.col("_asks").isNull()).alias("_rows"),
+            F.count("_asks").alias("_markers"),
+        )
+        .filter((F.col("_rows") > 0) & (F.col("_markers") > 0))
+    )
+    number = F.regexp_extract("_asks", _NUMBERED, 1).try_cast("long")
+    return (
+        ranked.filter(F.col("_asks").isNotNull())
+        .withColumn("_n", number)
+        .join(sizes, named)
+        .filter(F.col("_n") <= F.col("_rows") + F.col("_markers"))
+    )
+
+
 def _clashes(markers: DataFrame) -> DataFrame:
     """Per clashing name: whether its first row lost the plain name, and which numbers are gone.
 
@@ -154,7 +174,7 @@ def _clashes(markers: DataFrame) -> DataFrame:
         *_GROUP,
         "_file",
         F.col("_asks").alias("_numbered"),
-        F.regexp_extract("_asks", _NUMBERED, 1).try_cast("long").alias("_n"),
+        "_n",
         F.col("_rank").alias("_ahead"),
         F.regexp_replace("_asks", _ROOT, "").alias("_root"),
     )
@@ -171,8 +191,7 @@ def _settle(family: pd.DataFrame) -> pd.DataFrame:
     """
     demoted: dict[str, int] = {}
     taken: dict[str, list[int]] = {}
-    by_name = family.dropna(subset=["_n"]).assign(_depth=lambda d: d["_file"].str.len())
-    for name, group in sorted(by_name.groupby("_file"), key=lambda item: (len(item[0]), item[0])):
+    for name, group in sorted(family.groupby("_file"), key=lambda item: (len(item[0]), item[0])):
         gone: list[int] = []
         for n, numbered, ahead in sorted(zip(group["_n"], group["_numbered"], group["_ahead"])):
             suffix = int(n) - len(gone)

@@ -129,8 +129,10 @@ def test_plan_shape(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = diff(b, a)._jdf.queryExecution().executedPlan().toString()
+        capped = diff(b, a, DiffOptions(limit=5))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("FullOuter") == 1 and plan.count("Exchange hashpartitioning") == 4
+    assert capped.count("TakeOrderedAndProject") == 4 and capped.count("LeftAnti") == 2
     assert "ctime" not in plan and "parent_frn" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
