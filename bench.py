@@ -11,8 +11,10 @@ import os
 import time
 from pathlib import Path
 
-from driftledger.operators import diff as ops
+from pyspark.sql import functions as F
+
 from driftledger.model import DiffOptions
+from driftledger.operators import diff as ops
 from driftledger.plans.compare import diff, diff_summary
 from driftledger.session import build_session
 from driftledger.sources.workdir import fresh_path
@@ -26,6 +28,7 @@ HEADLINE = (
     "event_rename", "event_throttle", "event_throttle_hot", "event_enrich", "event_stream",
     "triage_manifest",
 )
+STORED_FILES = 1_000_000
 WARM_UP = ("diff_inventory", "event_throttle", "ingest_inventory")
 
 
@@ -34,13 +37,25 @@ def consume(df) -> None:
 
 
 def stored_diff(spark, sf_dir: str) -> dict[str, float]:
-    """Phases of a diff over two stored inventories (writing them is not timed)."""
+    """Phases of a diff over two stored inventories of about a million files each.
+
+    The derived inventory is repeated under new ids and paths until it has that size; writing
+    it is not timed.
+    """
     root = fresh_path(spark, "bench")
+    before, after = derive.lineitem_pair(spark, sf_dir)
+    copies = max(1, round(STORED_FILES / before.count()))
     sides = []
-    for tag, df in zip(("before", "after"), derive.lineitem_pair(spark, sf_dir)):
+    for tag, df in (("before", before), ("after", after)):
+        repeated = (
+            df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+            .withColumn("frn", F.col("frn") + F.col("copy") * F.lit(1 << 40))
+            .withColumn("path", F.concat("path", F.lit("~"), F.col("copy").cast("string")))
+            .drop("copy")
+        )
         # several files per snapshot, as any real inventory has
-        df.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{root}/{tag}")
-        sides.append(spark.read.parquet(f"{root}/{tag}"))
+        repeated.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{root}/{tag}")
+        sides.append(spark.read.schema(repeated.schema).parquet(f"{root}/{tag}"))
     plain = DiffOptions()
     phases = {
         "stored_diff_total": diff(*sides),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import DiffOptions
 from ..operators import diff as ops
+from ..operators.rules import check_rules, compile_rules
 from ..sources.store import SnapshotStore
 
 
@@ -18,6 +19,7 @@ def diff(before: DataFrame, after: DataFrame, options: DiffOptions | None = None
     just to be cut.
     """
     options = options or DiffOptions()
+    check_rules(before.sparkSession, compile_rules(options.rules, options.variables))
     if not options.limit:
         return ops.frn_changes(before, after, options).unionByName(
             ops.replaced(before, after, options)

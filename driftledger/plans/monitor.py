@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..model import WatchOptions
 from ..operators import events as ops
-from ..operators.rules import path_filter
+from ..operators.rules import PathFilter, check_rules, path_filter
 from ..operators.throttle import throttle
 from ..streaming.stateful import pair_renames_stream, throttle_stream
 
@@ -17,7 +17,7 @@ def replay(
     """Events of a finished batch of change records: classify, pair, filter, throttle."""
     options = options or WatchOptions()
     prepared = ops.prepare_records(records, options, mount)
-    kept = ops.emitted(ops.pair_renames(prepared), path_filter(options))
+    kept = ops.emitted(ops.pair_renames(prepared), _checked_filter(records, options))
     return throttle(kept, options.window_ms)
 
 
@@ -35,4 +35,11 @@ def watch(
     options = options or WatchOptions()
     prepared = ops.prepare_records(records, options, mount)
     paired = pair_renames_stream(prepared, state_ttl)
-    return throttle_stream(ops.emitted(paired, path_filter(options)), options.window_ms, state_ttl)
+    kept = ops.emitted(paired, _checked_filter(records, options))
+    return throttle_stream(kept, options.window_ms, state_ttl)
+
+
+def _checked_filter(records: DataFrame, options: WatchOptions) -> PathFilter:
+    found = path_filter(options)
+    check_rules(records.sparkSession, found.rules)
+    return found

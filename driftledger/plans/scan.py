@@ -38,6 +38,7 @@ def ingest_snapshot(
     taken_at: int | None = None,
     host: str | None = None,
     note: str | None = None,
+    snapshot_id: int | None = None,
 ) -> ScanResult:
     """Filter, upsert, hash and write one snapshot, then register its name.
 
@@ -49,7 +50,7 @@ def ingest_snapshot(
     store.check_name_is_free(name)
     rules = compile_rules(options.rules, options.variables).with_prefixes(options.hidden_paths)
     check_rules(store.spark, rules)
-    snapshot_id = store.next_id()
+    snapshot_id = store.reserve_id() if snapshot_id is None else snapshot_id
 
     seen, done = Observation(), Observation()
     selected = filter_volumes(records, options.volumes, options.exclude_volumes)

@@ -73,12 +73,23 @@ class SnapshotStore:
             raise SnapshotNotFound(f"snapshot '{name}' not found")
         return row.id
 
-    def next_id(self) -> int:
-        """Ids only grow, and the id of a deleted snapshot is not given out again."""
+    def reserve_id(self) -> int:
+        """The next id, marked as used at once: ids only grow and are never given out again.
+
+        One catalog update, not a lock. Jobs that ingest into one store at the same moment
+        should be handed ids by whatever schedules them.
+        """
         stored = self.spark.sql(f"SHOW TBLPROPERTIES {self.snapshots_table}")
         last = stored.filter(F.col("key") == _SEQUENCE).head()
         highest = self.snapshots().agg(F.max("id")).head()[0]
-        return max(int(last.value) if last else 0, highest or 0) + 1
+        chosen = max(int(last.value) if last else 0, highest or 0) + 1
+        self._mark_used(chosen)
+        return chosen
+
+    def _mark_used(self, snapshot_id: int) -> None:
+        self.spark.sql(
+            f"ALTER TABLE {self.snapshots_table} SET TBLPROPERTIES ('{_SEQUENCE}'='{snapshot_id}')"
+        )
 
     def register(
         self,
@@ -95,9 +106,6 @@ class SnapshotStore:
         row.select("name", "taken_at", "host", "note", "id").write.mode("append").insertInto(
             self.snapshots_table
         )
-        self.spark.sql(
-            f"ALTER TABLE {self.snapshots_table} SET TBLPROPERTIES ('{_SEQUENCE}'='{snapshot_id}')"
-        )
         return snapshot_id
 
     def check_name_is_free(self, name: str) -> None:
@@ -107,10 +115,14 @@ class SnapshotStore:
     # file rows
 
     def files(self, name: str | None = None) -> DataFrame:
-        """The inventory of one snapshot, or of all of them."""
+        """The inventory of one snapshot, or of all registered ones.
+
+        Rows of a run that failed before it took its name are not part of any snapshot.
+        """
         table = self.spark.table(self.files_table).select(*FILE_SCHEMA.fieldNames())
         if name is None:
-            return table
+            registered = self.snapshots().select(F.col("id").alias("snapshot_id"))
+            return table.join(registered, "snapshot_id", "left_semi")
         return table.filter(F.col("snapshot_id") == self.snapshot_id(name))
 
     def write_files(self, rows: DataFrame) -> None:
@@ -129,7 +141,7 @@ class SnapshotStore:
     def delete(self, name: str) -> int:
         """Drop the file rows and the registry row; returns how many file rows went."""
         snapshot_id = self.snapshot_id(name)
-        removed = self.files().filter(F.col("snapshot_id") == snapshot_id).count()
+        removed = self.files(name).count()
         self.spark.sql(
             f"ALTER TABLE {self.files_table} DROP IF EXISTS PARTITION (snapshot_id={snapshot_id})"
         )

@@ -111,6 +111,12 @@ def test_identity_and_symmetry(spark):
     assert none == dict.fromkeys(there, 0)
 
 
+def test_bad_pattern_fails_before_any_task(spark):
+    one = spark.createDataFrame([file(1, "a")], COLS)
+    with pytest.raises(ValueError, match="bad pattern in rules"):
+        diff(one, one, DiffOptions(rules=(Rule("regex", r"\p{NoSuchScript}"),)))
+
+
 def test_json_entry(spark):
     b = spark.createDataFrame([file(-1, "C:\\é\"x", sha="ab")], COLS)
     got = report_json(diff(b, b.limit(0))).head()
