@@ -52,43 +52,59 @@ def frn_changes(before: DataFrame, after: DataFrame, options: DiffOptions) -> Da
     other side is a directory into an added or removed one. The path filter also comes after
     it, so patterns are evaluated for changed rows only.
     """
-    keep = path_filter(options)
-    joined = _side(before, BEFORE).join(_side(after, AFTER), _same_file(), "full_outer")
-    only_after = F.col("before_volume").isNull()
-    only_before = F.col("after_volume").isNull()
-    path_changed = F.col("before_path") != F.col("after_path")
     kind = (
-        F.when(only_after, F.lit("Added"))
-        .when(only_before, F.lit("Removed"))
-        .otherwise(change_kind(path_changed, content_changed()))
-    )
-    reported = (
-        F.when(only_after, _one_side(AFTER, keep, options))
-        .when(only_before, _one_side(BEFORE, keep, options))
-        .otherwise(
-            _files_only(options) & (path_changed | content_changed()) & _either_side(keep)
-        )
+        F.when(_only_after(), F.lit("Added"))
+        .when(_only_before(), F.lit("Removed"))
+        .otherwise(change_kind(_path_changed(), content_changed()))
     )
-    category = (
-        F.when(only_after, F.lit("added"))
-        .when(only_before, F.lit("removed"))
+    joined = _matched(before, after).filter(_reported(options))
+    return _report(joined, _id_category(), kind, F.coalesce("before_volume", "after_volume"))
+
+
+def _matched(before: DataFrame, after: DataFrame) -> DataFrame:
+    return _side(before, BEFORE).join(_side(after, AFTER), _same_file(), "full_outer")
+
+
+def _only_after() -> Column:
+    return F.col("before_volume").isNull()
+
+
+def _only_before() -> Column:
+    return F.col("after_volume").isNull()
+
+
+def _path_changed() -> Column:
+    return F.col("before_path") != F.col("after_path")
+
+
+def _id_category() -> Column:
+    return (
+        F.when(_only_after(), F.lit("added"))
+        .when(_only_before(), F.lit("removed"))
         .otherwise(F.lit("modified"))
     )
-    return _report(
-        joined.filter(reported), category, kind, F.coalesce("before_volume", "after_volume")
+
+
+def _reported(options: DiffOptions) -> Column:
+    """Rows of the full outer join that are changes to report."""
+    keep = path_filter(options)
+    changed = _path_changed() | content_changed()
+    return (
+        F.when(_only_after(), _one_side(AFTER, keep, options))
+        .when(_only_before(), _one_side(BEFORE, keep, options))
+        .otherwise(_files_only(options) & changed & _either_side(keep))
     )
 
 
 def modified(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
     """Files on both sides whose path or content changed."""
-    path_changed = F.col("before_path") != F.col("after_path")
     joined = _side(_files(before, options), BEFORE).join(
         _side(_files(after, options), AFTER), _same_file()
     )
-    changed = joined.filter(path_changed | content_changed()).filter(
+    changed = joined.filter(_path_changed() | content_changed()).filter(
         _either_side(path_filter(options))
     )
-    kind = change_kind(path_changed, content_changed())
+    kind = change_kind(_path_changed(), content_changed())
     return _report(changed, F.lit("modified"), kind, F.col("before_volume"))
 
 
@@ -129,30 +145,39 @@ def replaced(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataF
     return _report(joined, F.lit("replaced"), F.lit("Replaced"), F.col("before_volume"))
 
 
-def replaced_count(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
-    """Number of replaced pairs: all pairs of a path minus those of a file with itself."""
+def counts(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
+    """Changes per category without building them.
+
+    Replaced pairs are all pairs of files under one path minus those of a file with itself.
+    The first number follows from counts per path (combined before the shuffle, so a path that
+    holds a third of all files is one row per task), the second from the join on file ids.
+    """
     keep = path_filter(options)
+    kept_path = keep.keep(F.col("before_path"))
+    itself = F.coalesce(
+        _files_only(options) & ~_path_changed() & (F.lit(True) if kept_path is None else kept_path),
+        F.lit(False),
+    )
+    reported, category = _reported(options), _id_category()
+    by_id = _matched(before, after).agg(
+        *[F.count_if(reported & (category == c)).alias(c) for c in CATEGORIES if c != "replaced"],
+        (-F.count_if(itself)).alias("replaced"),
+    )
     sides = []
-    for df, is_before in ((before, True), (after, False)):
+    for df, tag in ((before, "_b"), (after, "_a")):
         kept = keep.keep(F.col("path"))
         df = _files(df, options)
         df = df if kept is None else df.filter(kept)
-        sides.append(
-            df.select(
-                "path", "volume", "frn",
-                F.lit(int(is_before)).cast("long").alias("_b"),
-                F.lit(int(not is_before)).cast("long").alias("_a"),
-            )
-        )
-    per_file = (
-        sides[0].unionByName(sides[1]).groupBy("path", "volume", "frn")
-        .agg(F.sum("_b").alias("_b"), F.sum("_a").alias("_a"))
+        sides.append(df.select("path", "volume", F.lit(1).cast("long").alias(tag)))
+    by_path = (
+        sides[0].unionByName(sides[1], allowMissingColumns=True)
+        .groupBy("path", "volume")
+        .agg(F.count("_b").alias("_b"), F.count("_a").alias("_a"))
+        .agg(F.coalesce(F.sum(F.col("_b") * F.col("_a")), F.lit(0).cast("long")).alias("n"))
+        .select(F.lit("replaced").alias("category"), "n")
     )
-    per_path = per_file.groupBy("path", "volume").agg(
-        (F.sum("_b") * F.sum("_a") - F.sum(F.col("_b") * F.col("_a"))).alias("_pairs")
-    )
-    total = F.coalesce(F.sum("_pairs"), F.lit(0).cast("long"))
-    return per_path.agg(total.alias("n")).select(F.lit("replaced").alias("category"), "n")
+    parts = _category_rows(by_id).unionByName(by_path)
+    return parts.groupBy("category").agg(F.sum("n").alias("n"))
 
 
 # Order inside a category, used by every limit so that it is repeatable.
@@ -171,13 +196,17 @@ def limited(changes: DataFrame, category: str, limit: int) -> DataFrame:
 
 def summary(changes: DataFrame) -> DataFrame:
     """Number of changes per category, zeros included, from one partial aggregation."""
-    counts = changes.agg(
-        *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]
+    return _category_rows(
+        changes.agg(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
     )
+
+
+def _category_rows(totals: DataFrame) -> DataFrame:
+    """One row with a column per category, turned into one row per category."""
     pairs = F.array(
         *[F.struct(F.lit(c).alias("category"), F.col(c).alias("n")) for c in CATEGORIES]
     )
-    return counts.select(F.explode(pairs).alias("p")).select("p.category", "p.n")
+    return totals.select(F.explode(pairs).alias("p")).select("p.category", "p.n")
 
 
 def category_rank(category: Column) -> Column:

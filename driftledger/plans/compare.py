@@ -56,8 +56,8 @@ def diff_summary(
     expanded.
     """
     options = options or DiffOptions()
-    by_id = ops.summary(ops.frn_changes(before, after, options)).filter("category <> 'replaced'")
-    counts = by_id.unionByName(ops.replaced_count(before, after, options))
+    check_rules(before.sparkSession, compile_rules(options.rules, options.variables))
+    counts = ops.counts(before, after, options)
     if options.limit:
         return counts.select("category", F.least("n", F.lit(options.limit).cast("long")).alias("n"))
     return counts

@@ -60,8 +60,10 @@ def test_replaced_keeps_multiplicity(run):
 def test_counts_without_pairs(spark):
     """One path holds most files on both sides; the counts match the report."""
     before = spark.createDataFrame([file(n, "hot" if n % 3 else f"p{n}") for n in range(60)], COLS)
-    after = spark.createDataFrame([file(n + 20, "hot" if n % 4 else f"p{n}") for n in range(60)], COLS)
-    for options in (DiffOptions(), DiffOptions(limit=7), DiffOptions(rules=(Rule("prefix", "hot"),))):
+    after = spark.createDataFrame(
+        [file(n + 20, "hot" if n % 4 else f"p{n}", is_dir=n % 9 == 0) for n in range(60)], COLS)
+    for options in (DiffOptions(), DiffOptions(limit=7), DiffOptions(rules=(Rule("prefix", "hot"),)),
+                    DiffOptions(include_dirs=True, rules=(Rule("regex", "p1"),))):
         want = {r.category: r.n for r in ops.summary(diff(before, after, options)).collect()}
         assert {r.category: r.n for r in diff_summary(before, after, options).collect()} == want
 
