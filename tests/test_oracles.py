@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as contract
+from testbed.catalog import QUERIES
+from testbed.oracles import ORACLES
 
 from .oracle import compare, connect
 
@@ -14,11 +16,13 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, con, name):
     assert compare(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) is None
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
