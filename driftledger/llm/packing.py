@@ -17,6 +17,8 @@ from .common import stored
 #: Items per shard, about: hash bundles, and as many large groups or pieces at most.
 BUNDLES = 256
 _DIMS = ("size", "tokens", "rows")
+#: Bytes are the law, so their balance weighs most.
+_WEIGHTS = (512.0, 1.0, 1.0)
 
 
 def place(demand: np.ndarray, shards: int) -> np.ndarray:
@@ -28,9 +30,10 @@ def place(demand: np.ndarray, shards: int) -> np.ndarray:
     capacity = np.maximum(demand.sum(axis=0) / shards, 1e-9)
     share = demand / capacity
     residual = np.ones((shards, demand.shape[1]))
+    weights = np.array(_WEIGHTS)
     chosen = np.zeros(len(demand), np.int64)
-    for i in np.lexsort((np.arange(len(demand)), -share.sum(axis=1), -share[:, 0])):
-        best = int(np.argmax(residual @ share[i]))
+    for i in np.lexsort((np.arange(len(demand)), -(share @ weights))):
+        best = int(np.argmax(residual @ (weights * share[i])))
         chosen[i] = best
         residual[best] -= share[i]
     return chosen

@@ -33,10 +33,11 @@ _SEED = 7  # symbols packed into the first sort key
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kgram: int = KGRAM):
-    """Contexts of a run of texts: owning row, first string, number of strings, anchor."""
+    """Contexts of a run of texts: owning row, first string, number of strings, anchor, how often the
+    anchor occurs in the context itself."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
@@ -59,7 +60,16 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kgr
     starts, ends, row = (np.repeat(x, parts) for x in (starts, ends, row))
     starts = starts + RUN * turn
     ends = np.minimum(starts + RUN, ends)
-    return rows[row], starts - offsets[rows[row]], ends - starts, least[starts]
+    anchors = least[starts]
+    # k-grams that may be an anchor, by some bits of their hash; then those of each context
+    table = np.zeros(1 << 20, bool)
+    table[anchors & np.uint64(0xFFFFF)] = True
+    places = np.flatnonzero(table[grams & np.uint64(0xFFFFF)])
+    low, high = np.searchsorted(places, starts), np.searchsorted(places, ends + length - kgram)
+    own = np.repeat(np.arange(len(starts)), high - low)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(high - low) - high, high - low)
+    occurs = np.bincount(own[grams[places[at]] == anchors[own]], minlength=len(starts))
+    return rows[row], starts - offsets[rows[row]], ends - starts, anchors, occurs
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -82,7 +92,7 @@ def contexts(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataF
             data, offsets = utf8(batch.column("text"))
             ids, keys = batch.column("doc_id"), batch.column("key")
             for part, own, low, shift in _segments(data, offsets, length):
-                row, start, n, h = anchor_runs(part, own, length, kgram)
+                row, start, n, h, m = anchor_runs(part, own, length, kgram)
                 body = memoryview(part)
                 begin = own[row] + start
                 digests = b"".join(
@@ -93,12 +103,13 @@ def contexts(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataF
                 at = pa.array(row + low)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), keys.take(at), pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(pair[:, 0])),
-                     pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(start + shift, pa.int64()), pa.array(n, pa.int64())],
-                    ["doc_id", "key", "h", "d1", "d2", "s", "n"],
+                     pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(start + shift, pa.int64()), pa.array(n, pa.int64()),
+                     pa.array(m, pa.int64())],
+                    ["doc_id", "key", "h", "d1", "d2", "s", "n", "m"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, key long, h long, d1 long, d2 long, s long, n long")
+    return docs.mapInArrow(run, f"doc_id {kind}, key long, h long, d1 long, d2 long, s long, n long, m long")
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
     ``docs`` has ``doc_id``, ``key`` (a hash of the text) and ``text`` without nulls.
     """
     every = stored(contexts(docs, length, kgram), "contexts")
-    anchors = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+    anchors = every.groupBy("h").agg(F.sum("m").alias("c")).where("c >= 2")
     again = stored(every.join(anchors, "h", "left_semi"), "repeated-contexts")
     # any holder will do: equal digests are equal bytes
     held = [F.first(c).alias(c) for c in ("doc_id", "key", "s", "n")]
