@@ -24,12 +24,11 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from .common import add_columns, mix, powers, row_chunks, sliding_min, stored, utf8
 
-LENGTH, KGRAM = 400, 64
+LENGTH, KGRAM = 400, 32
 #: Strings per context at most; bytes transformed together; bytes of a text looked at together.
 RUN, BATCH, PIECE = 512, 2 << 20, 1 << 20
 #: An anchor with more distinct contexts is compared string by string, so that Spark can split it.
 HOT = 2048
-_SEED = 7  # symbols packed into the first sort key
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kgram: int = KGRAM):
@@ -112,33 +111,42 @@ def contexts(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataF
     return docs.mapInArrow(run, f"doc_id {kind}, key long, h long, d1 long, d2 long, s long, n long, m long")
 
 
-def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes by their first ``depth`` symbols at least, then by place; ranks; common prefixes below _SEED.
+def suffix_order(
+    symbols: np.ndarray, left: np.ndarray, depth: int, bits: int, seed: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes by their first ``depth`` symbols at least, then by place; ranks; common prefixes below ``seed``.
 
-    ``left`` is the number of symbols before the suffix's terminator; terminators are all different.
+    ``left`` is the number of symbols before the suffix's terminator; terminators (0) are all different.
+    Symbols have ``bits`` bits; the first sort key packs ``seed`` of them.
     """
     n = len(symbols)
-    key = np.zeros(n, np.uint64)
-    for j in range(_SEED):
-        key <<= np.uint64(9)
-        key[: n - j] |= np.where(left[: n - j] > j, symbols[j:], 0).astype(np.uint64)
+    key, packed = symbols.astype(np.int64), 1
+    while packed < seed:
+        more = min(packed, seed - packed)
+        # the next symbols, unless the text ends before them
+        rest = np.zeros(n, np.int64)
+        rest[: n - packed] = key[packed:] >> (bits * (packed - more))
+        rest[left < packed] = 0
+        key <<= bits * more
+        key |= rest
+        packed += more
     order = np.argsort(key, kind="stable").astype(np.int32)
     sorted_key, sorted_left = key[order], left[order]
     low = np.full(n + 1, -1, np.int16)
     differ = sorted_key[1:] ^ sorted_key[:-1]
-    same = np.full(n - 1, _SEED, np.int16)
-    for j in range(_SEED - 1, -1, -1):
-        same[differ >> np.uint64(9 * (_SEED - 1 - j)) != 0] = j
+    same = np.full(n - 1, seed, np.int16)
+    for j in range(seed - 1, -1, -1):
+        same[differ >> (bits * (seed - 1 - j)) != 0] = j
     same = np.minimum(same, np.minimum(sorted_left[1:], sorted_left[:-1])).astype(np.int16)
-    low[1:n][same < _SEED] = same[same < _SEED]
+    low[1:n][same < seed] = same[same < seed]
     low[0] = low[n] = 0
     # refine groups that are still equal by the rank of what follows
     fresh = np.ones(n, bool)
-    fresh[1:] = same < _SEED
+    fresh[1:] = same < seed
     first = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
     rank = np.empty(n, np.int32)
     rank[order] = first
-    known = _SEED
+    known = seed
     tied = ~fresh
     tied[:-1] |= ~fresh[1:]
     while known < depth and tied.any():
@@ -167,20 +175,23 @@ def open_boundaries(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
-    n = len(symbols)
-    ends = begins + sizes
+    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    n, ends = len(raw), begins + sizes
+    used = np.bincount(raw, minlength=256) > 0
+    symbols = np.cumsum(used).astype(np.uint16)[raw]
     symbols[ends] = 0
+    bits = int(used.sum()).bit_length()
+    seed = min(63 // bits, 16, length - 1)
     left = (np.repeat(ends, sizes + 1) - np.arange(n)).astype(np.int32)
-    order, rank, common = suffix_order(symbols, left, length + 1)
+    order, rank, common = suffix_order(symbols, left, length + 1, bits, seed)
     before = np.where(order > 0, rank[order - 1], -1).astype(np.int32)  # backward step
     head = symbols[order]  # first symbol of each suffix
-    # intervals of _SEED symbols whose right boundary has just been found
+    # intervals of seed symbols whose right boundary has just been found
     cut = np.flatnonzero(common >= 0)
-    new = np.flatnonzero(common[cut] == _SEED - 1)
+    new = np.flatnonzero(common[cut] == seed - 1)
     new = new[(new > 0) & (new < len(cut) - 1)]
     low, high = cut[new - 1], cut[new]
-    for value in range(_SEED, length):
+    for value in range(seed, length):
         if not len(low):
             break
         size = high - low
