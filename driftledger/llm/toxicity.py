@@ -22,8 +22,9 @@ from .common import add_columns, hashed_sample, stored
 
 #: Bounds of the model: labelled rows it is fitted on, and terms.
 TRAIN_ROWS, TERMS = 20_000, 2048
-#: A term must tell the labels apart by this much (twice the log-likelihood ratio).
-EVIDENCE = 24.0
+#: A term must tell the labels apart beyond chance (twice the log-likelihood ratio), and its share of
+#: label 1 must differ from the overall share by this factor.
+EVIDENCE, LIFT = 24.0, 2.0
 NEIGHBOURS, BLOCK = 15, 64
 _TERM = re.compile(r"[^\W\d_]+")
 #: A single letter run longer than this is no term of any language.
@@ -86,17 +87,25 @@ class Index:
         """The ``k`` nearest examples (cosine, place), exactly; ties go to the smaller place."""
         bounds = weights @ self.heads[numbers]
         blocks = self.heads.shape[1]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] * (1 + 1e-9) < -best[-1][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for number, weight in zip(numbers.tolist(), weights.tolist()):
-                a, e = self.starts[number * blocks + b], self.starts[number * blocks + b + 1]
-                scores[self.places[a:e] - b * BLOCK] += weight * self.weights[a:e]
-            hit = np.flatnonzero(scores > 0)
-            best = sorted(best + list(zip((-np.round(scores[hit], 12)).tolist(), (hit + b * BLOCK).tolist())))[:k]
-        return [(-s, p) for s, p in best]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[: np.count_nonzero(bounds > 0)]
+        scores, places, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 4
+        while at < len(order):
+            if len(scores) == k:
+                # blocks that can still hold a score as high as the k-th one
+                order = order[: max(at, np.count_nonzero(bounds[order] * (1 + 1e-9) >= scores[-1]))]
+            some = order[at : at + step]
+            at, step = at + step, 2 * step
+            cell = (numbers[:, None] * blocks + some).ravel()
+            begin, size = self.starts[cell], self.starts[cell + 1] - self.starts[cell]
+            posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+            found, own = np.unique(self.places[posting], return_inverse=True)
+            part = np.bincount(own, np.repeat(np.repeat(weights, len(some)), size) * self.weights[posting])
+            scores = np.concatenate([scores, np.round(part, 12)])
+            places = np.concatenate([places, found])
+            best = np.lexsort((places, -scores))[:k]
+            scores, places = scores[best], places[best]
+        return list(zip(scores.tolist(), places.tolist()))
 
     def judge(self, text: str | None, k: int) -> tuple[float, list[tuple[int, int, float]]]:
         """Score and evidence (example, label, cosine) of a whole text."""
@@ -158,7 +167,9 @@ def train(
         part(F.col("n0"), df * n0 / n) + part(F.col("n1"), df * n1 / n)
         + part(n0 - F.col("n0"), (n - df) * n0 / n) + part(n1 - F.col("n1"), (n - df) * n1 / n)
     ) if n else F.lit(0.0)
-    best = counted.withColumn("g", g).where(F.col("g") >= evidence).orderBy(F.desc("g"), "term").limit(size).collect()
+    rate = F.col("n1") / df * (n / n1 if n1 else 0.0)
+    apart = (F.col("g") >= evidence) & ((rate >= LIFT) | (rate <= 1 / LIFT))
+    best = counted.withColumn("g", g).where(apart).orderBy(F.desc("g"), "term").limit(size).collect()
     vocabulary = {r.term: i for i, r in enumerate(best)}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
