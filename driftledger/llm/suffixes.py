@@ -24,11 +24,11 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from .common import add_columns, mix, powers, row_chunks, sliding_min, stored, utf8
 
-LENGTH, KGRAM = 400, 32
+LENGTH, KGRAM = 400, 64
 #: Strings per context at most; bytes transformed together; bytes of a text looked at together.
 RUN, BATCH, PIECE = 512, 2 << 20, 1 << 20
 #: An anchor with more distinct contexts is compared string by string, so that Spark can split it.
-HOT = 2048
+HOT = 4096
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kgram: int = KGRAM):
