@@ -122,7 +122,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     field = [StructField("bits", BinaryType())]
     found = add_columns(known, [text], field, compute, [lang, doc_id]).collect()
     found.sort(key=lambda r: (str(r[doc_id])[::-1], r[lang], r["bits"]))
-    bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), -1)
+    bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), WIDTH // 8)
     return fit(bits, [r[lang] for r in found])
 
 
