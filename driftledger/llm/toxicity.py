@@ -59,7 +59,7 @@ class Index:
         """``examples``: (id, label, {term number: count}). Those without a known term only give ``empty``."""
         idf = np.log((1 + total) / (1 + np.asarray(frequency, np.float64))) + 1
         y = np.array([e[1] for e in examples], np.float64)
-        prior = float((y.sum() + 1) / (len(y) + 2))
+        prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
         bare = np.array([not e[2] for e in examples], bool)
         empty = float((y[bare].sum() + 2 * prior) / (bare.sum() + 2)) if len(y) else prior
         full = []
@@ -193,8 +193,8 @@ def score(
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``.
 
     ``evidence`` lists the nearest examples: id, label, cosine. A text without a known term (also null
-    or empty) scores as the labelled examples without one do, and has no evidence. Rows are judged one
-    by one; columns of these names are replaced.
+    or empty) scores as the labelled examples without one do, and has no evidence; without any example
+    every text scores 0. Rows are judged one by one; columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     row = StructType([StructField("id", LongType()), StructField("label", IntegerType()), StructField("cosine", DoubleType())])

@@ -107,7 +107,7 @@ def test_toxicity(spark):
     out = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
     assert len(out) == len(clean + toxic + EDGES)
     assert all(out[i].predicted == int(i >= 300) for i in range(380)) and out[380].predicted == 0
-    assert all(0 <= r.score <= 1 for r in out.values()) and out[300].evidence and not out[380].evidence
+    assert all(0 <= r.score <= 1 for r in out.values()) and out[301].evidence and not out[380].evidence
     none = toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, none).where("predicted = 1").count() == 0
 
