@@ -12,6 +12,7 @@ from ..operators import enrich, ingest
 from ..operators.rules import check_rules, compile_rules
 from ..operators.selection import filter_volumes, scan_kept
 from ..sources.store import SnapshotStore
+from ..sources.workdir import fresh_path
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ def ingest_snapshot(
         F.count_if(F.col("outcome") == "hashed").alias("hashed"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
     )
-    store.write_files(rows)
+    store.write_files(_staged(rows), snapshot_id)
     if not seen.get["total"]:
         raise LookupError("no matching volumes to scan")
     store.register(name, snapshot_id, taken_at, host, note)
@@ -89,5 +90,12 @@ def hash_snapshot(
         F.count_if(F.col("outcome") == "hashed").alias("hashed"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
     )
-    store.write_files(rows)
+    store.write_files(_staged(rows), store.snapshot_id(name))
     return dict(done.get)
+
+
+def _staged(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder first: a partition is replaced only when all are there."""
+    path = fresh_path(rows.sparkSession, "scan")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

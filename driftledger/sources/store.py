@@ -125,17 +125,22 @@ class SnapshotStore:
             return table.join(registered, "snapshot_id", "left_semi")
         return table.filter(F.col("snapshot_id") == self.snapshot_id(name))
 
-    def write_files(self, rows: DataFrame) -> None:
-        """Replace the partitions of the snapshots in ``rows`` and touch no other one."""
-        ordered = [c for c in FILE_SCHEMA.fieldNames() if c != "snapshot_id"] + ["snapshot_id"]
-        rows = rows.select(*ordered)
+    def write_files(self, rows: DataFrame, snapshot_id: int) -> None:
+        """Replace the partition of one snapshot and touch no other one, whatever the session's settings.
+
+        The partition is named in the statement, so it cannot depend on an overwrite mode. A row of
+        another snapshot fails the write. ``rows`` must not read the files table itself.
+        """
+        own = F.assert_true(F.col("snapshot_id").eqNullSafe(snapshot_id), "row of another snapshot")
+        columns = [c for c in FILE_SCHEMA.fieldNames() if c != "snapshot_id"]
+        rows = rows.where(own.isNull()).select(*columns)
         if self.buckets:
             # one file per bucket, already in bucket order
             rows = rows.repartition(self.buckets, "volume", "frn")
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(self.files_table, overwrite=True)
+        self.spark.sql(
+            f"INSERT OVERWRITE TABLE {self.files_table} PARTITION (snapshot_id = {int(snapshot_id)}) "
+            "SELECT * FROM {rows}",
+            rows=rows,
         )
 
     def delete(self, name: str) -> int:
@@ -163,10 +168,10 @@ def list_snapshots(snapshots: DataFrame) -> DataFrame:
 def without_snapshot(files: DataFrame, snapshots: DataFrame, name: str) -> DataFrame:
     """File rows that stay when the named snapshot goes (for tables outside a catalog).
 
-    The registry has one row per name, so at most one id is broadcast.
+    Should the registry hold a name twice, the rows of every id of that name go.
     """
     doomed = snapshots.filter(F.col("name") == name).select(F.col("id").alias("snapshot_id"))
-    return files.join(F.broadcast(doomed.limit(1)), "snapshot_id", "left_anti")
+    return files.join(doomed, "snapshot_id", "left_anti")
 
 
 def _ddl(schema: T.StructType) -> str:

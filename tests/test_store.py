@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from driftledger import DiffOptions, Rule, ScanOptions, SnapshotStore, diff_snapshots, ingest_snapshot
 from driftledger.model import SCAN_RECORD_SCHEMA
@@ -59,7 +60,10 @@ def test_scan_store_diff_delete(spark, buckets):
     assert store.files("one").count() == 3
 
     # rows of a run that never took its name are in no snapshot
-    store.write_files(store.files("one").withColumn("snapshot_id", store.files("one").frn * 0 + 99))
+    unnamed = spark.createDataFrame(store.files("one").collect(), store.files().schema)
+    with pytest.raises(Exception, match="row of another snapshot"):
+        store.write_files(unnamed, 99)
+    store.write_files(unnamed.withColumn("snapshot_id", unnamed.frn * 0 + 99), 99)
     assert store.files().filter("snapshot_id = 99").isEmpty() and store.files().count() == 5
 
     assert store.delete("two") == 2
@@ -68,6 +72,20 @@ def test_scan_store_diff_delete(spark, buckets):
     store.analyze()
 
 
+def test_writes_need_no_session_setting(spark):
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        store = SnapshotStore(spark, prefix="plain_").create()
+        row = spark.createDataFrame([(None,) * len(store.files().columns)], store.files().schema)
+        for n in (1, 2, 1):
+            store.write_files(row.withColumn("snapshot_id", F.lit(n).cast("long")), n)
+        ids = spark.table(store.files_table).select("snapshot_id").collect()
+        assert sorted(r.snapshot_id for r in ids) == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+
+
 def test_bucketed_snapshots_join_without_shuffle(spark):
     store = SnapshotStore(spark, prefix="bk_", buckets=4).create()
     for name in ("x", "y"):
