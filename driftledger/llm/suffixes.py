@@ -7,7 +7,8 @@ have common prefixes at least that long.
 To spread the work, every string of ``length`` bytes is attributed to the least k-gram hash inside it,
 its anchor. Equal strings have equal anchors, so only strings of one anchor have to be compared.
 Consecutive strings with one anchor form a context; only contexts whose anchor occurs more than once
-are looked at, equal contexts once, and each shard of the transform holds whole anchors.
+are looked at, equal contexts once, and each shard of the transform holds whole anchors. A context that
+occurs again repeats as a whole; it is transformed only where single contexts share its anchor.
 """
 
 from __future__ import annotations
@@ -222,18 +223,11 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _search(rows: list[tuple], length: int) -> pa.RecordBatch:
-    texts, owner = [], []
-    for k, (_, _, _, count, text) in enumerate(rows):
-        for _ in range(min(count, 2)):  # two copies stand for any number of them
-            texts.append(text)
-            owner.append(k)
-    again, begins, sizes = open_boundaries(texts, length)
-    out, last = [], -1
-    for k, begin, size in zip(owner, begins.tolist(), sizes.tolist()):
-        if k != last:
-            h, d1, d2, *_ = rows[k]
+    again, begins, sizes = open_boundaries([text for *_, text in rows], length)
+    out = []
+    for (h, d1, d2, count, _), begin, size in zip(rows, begins.tolist(), sizes.tolist()):
+        if count == 1:  # a context that occurs more often repeats as a whole
             out.extend((h, d1, d2, a, b - a) for a, b in _runs(again[begin : begin + size - length + 1]))
-        last = k
     columns = list(zip(*out)) or [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "d1", "d2", "off", "len"])
 
@@ -247,7 +241,7 @@ def _shards(length: int):
                     yield _search(rows, length)
                     rows, held = [], 0
                 rows.append(row)
-                held += min(row[3], 2) * (len(row[4]) + 1)
+                held += len(row[4]) + 1
         if rows:
             yield _search(rows, length)
 
@@ -281,7 +275,7 @@ def _bodies(docs: DataFrame, picked: DataFrame, length: int) -> DataFrame:
 
 
 def _by_string(bodies: DataFrame, length: int) -> DataFrame:
-    """Repeated strings of hot anchors, counted one by one by 128 bits of hash."""
+    """Repeated strings of hot anchors' single contexts, counted one by one by 128 bits of hash."""
 
     def run(batches):
         for batch in batches:
@@ -296,7 +290,8 @@ def _by_string(bodies: DataFrame, length: int) -> DataFrame:
 
     each = stored(bodies.mapInArrow(run, "h long, d1 long, d2 long, c long, off long, w1 long, w2 long"), "hot-strings")
     many = each.groupBy("w1", "w2").agg(F.sum("c").alias("all")).where("all >= 2")
-    return each.join(many, ["w1", "w2"], "left_semi").select("h", "d1", "d2", "off", F.lit(1).cast("long").alias("len"))
+    once = each.where("c = 1").join(many, ["w1", "w2"], "left_semi")
+    return once.select("h", "d1", "d2", "off", F.lit(1).cast("long").alias("len"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT) -> DataFrame:
@@ -310,17 +305,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
     # any holder will do: equal digests are equal bytes
     held = [F.first(c).alias(c) for c in ("doc_id", "key", "s", "n")]
     distinct = stored(again.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), *held), "distinct-contexts")
-    size = distinct.agg(F.sum((F.col("n") + length) * F.least("c", F.lit(2)))).first()[0] or 0
-    shards = max(1, -(-size // (2 * BATCH)))
-    crowded = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("h"), "hot-anchors")
-    split = not crowded.isEmpty()
-    calm = distinct.join(crowded, "h", "left_anti") if split else distinct
+    # a context that occurs again repeats as a whole; anchors with a single context are still to be compared
+    anchored = distinct.groupBy("h").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + length).alias("size"), F.min("c").alias("least")
+    )
+    anchored = stored(anchored.where("least = 1").select("h", "size", (F.col("m") > hot).alias("hot")), "open-anchors")
+    size, split = anchored.agg(F.sum(F.when(~F.col("hot"), F.col("size"))), F.max("hot")).first()
+    shards = max(1, -(-(size or 0) // (2 * BATCH)))
+    whole = distinct.where("c > 1").select("h", "d1", "d2", F.lit(0).cast("long").alias("off"), F.col("n").alias("len"))
+    calm = distinct.join(anchored.where(~F.col("hot")), "h", "left_semi")
     found = (
         _bodies(docs, calm, length).repartition(int(shards), "h").sortWithinPartitions("h")
         .mapInArrow(_shards(length), _FOUND)
     )
+    found = found.unionByName(whole)
     if split:
-        found = found.unionByName(_by_string(_bodies(docs, distinct.join(crowded, "h", "left_semi"), length), length))
+        crowded = distinct.join(anchored.where("hot"), "h", "left_semi")
+        found = found.unionByName(_by_string(_bodies(docs, crowded, length), length))
     start = F.col("s") + F.col("off")
     return (
         again.join(found, ["h", "d1", "d2"])
