@@ -94,6 +94,9 @@ CHANGE_RECORD_SCHEMA = _fields(
     ("path", _S, False),
 )
 
+#: Change records of many hosts.
+FLEET_RECORD_SCHEMA = T.StructType([*CHANGE_RECORD_SCHEMA.fields, T.StructField("host", _S, True)])
+
 RULE_SCHEMA = _fields(("pos", T.IntegerType(), False), ("kind", _S, False), ("pattern", _S, False))
 
 CONTENT_SCHEMA = _fields(

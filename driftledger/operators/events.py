@@ -17,6 +17,15 @@ USN_PIECE = 1 << 22
 EVENT_COLUMNS = ("ts", "usn", "volume", "frn", "kind", "path")
 
 
+def host_key(df: DataFrame) -> tuple[str, ...]:
+    """The host column of a fleet's records; a single host's records have none."""
+    return ("host",) if "host" in df.columns else ()
+
+
+def event_columns(df: DataFrame) -> tuple[str, ...]:
+    return (*EVENT_COLUMNS, *host_key(df))
+
+
 def event_kind(reason: Column) -> Column:
     """Deleted, Created, Renamed or Modified, in that precedence; null unless closed."""
     return F.when(
@@ -40,7 +49,11 @@ def is_event(kind: Column, reason: Column) -> Column:
 def prepare_records(
     records: DataFrame, options: WatchOptions, mount: Column | None = None
 ) -> DataFrame:
-    """Selected volumes from the start time on, with plain paths and an event kind."""
+    """Selected volumes from the start time on, with plain paths and an event kind.
+
+    Records may name their ``host``; then files, repeats and old names are told apart by it, and a
+    missing host is one of its own, written as the empty string.
+    """
     selected = filter_volumes(records, options.volumes)
     if options.start_ts is not None:
         selected = selected.filter(F.col("ts") >= F.lit(options.start_ts).cast("timestamp"))
@@ -53,11 +66,12 @@ def prepare_records(
         "reason",
         event_kind(F.col("reason")).alias("kind"),
         paths.record_path(F.col("path"), mount).alias("path"),
+        *(F.coalesce(c, F.lit("")).alias(c) for c in host_key(records)),
     )
 
 
 def classify_events(prepared: DataFrame) -> DataFrame:
-    return prepared.filter(is_event(F.col("kind"), F.col("reason"))).select(*EVENT_COLUMNS)
+    return prepared.filter(is_event(F.col("kind"), F.col("reason"))).select(*event_columns(prepared))
 
 
 def emitted(events: DataFrame, keep: PathFilter) -> DataFrame:
@@ -74,7 +88,8 @@ def pair_renames(prepared: DataFrame, piece: int = USN_PIECE) -> DataFrame:
     ones is a single row, so the carry over all pieces of a file is small even if that file
     made a third of all records.
     """
-    key = ["frn", "volume", "_piece"]
+    file = ["frn", "volume", *host_key(prepared)]
+    key = [*file, "_piece"]
     is_rename = F.coalesce(F.col("kind") == "Renamed", F.lit(False))
     old_half = values.has_bits(F.col("reason"), "RENAME_OLD_NAME")
     halves = prepared.filter(is_rename | old_half).withColumn(
@@ -90,7 +105,7 @@ def pair_renames(prepared: DataFrame, piece: int = USN_PIECE) -> DataFrame:
     ).filter(F.col("kind") == "Renamed")
 
     earlier_pieces = (
-        Window.partitionBy("frn", "volume").orderBy("_piece")
+        Window.partitionBy(*file).orderBy("_piece")
         .rangeBetween(Window.unboundedPreceding, -1)
     )
     carried = (
@@ -101,7 +116,7 @@ def pair_renames(prepared: DataFrame, piece: int = USN_PIECE) -> DataFrame:
         .drop("_left")
     )
     paired = in_piece.join(carried, key, "left").select(
-        *EVENT_COLUMNS, F.coalesce("_found", "_carried").alias("renamed_from")
+        *event_columns(prepared), F.coalesce("_found", "_carried").alias("renamed_from")
     )
     others = classify_events(prepared).filter(F.col("kind") != "Renamed")
     return others.withColumn("renamed_from", F.lit(None).cast("string")).unionByName(paired)
@@ -122,6 +137,7 @@ def event_digests(content: DataFrame) -> DataFrame:
     return content.filter(fits & pe).select(
         "volume",
         "path",
+        *host_key(content),
         size.alias("_size"),
         values.sha256_hex(F.col("content")).alias("_sha256"),
         is_mz.alias("_is_mz"),
@@ -129,11 +145,16 @@ def event_digests(content: DataFrame) -> DataFrame:
 
 
 def enrich_events(events: DataFrame, digests: DataFrame) -> DataFrame:
-    """Add ``sha256_hex`` and ``size`` where the file qualifies and can still be read."""
+    """Add ``sha256_hex`` and ``size`` where the file qualifies and can still be read.
+
+    Digests of a fleet have a ``host`` as its events do.
+    """
     d = digests.withColumnRenamed("volume", "_volume").withColumnRenamed("path", "_path")
-    joined = events.join(
-        d, (events["path"] == F.col("_path")) & (events["volume"] == F.col("_volume")), "left"
-    )
+    same = (events["path"] == F.col("_path")) & (events["volume"] == F.col("_volume"))
+    if host_key(events) and host_key(digests):
+        d = d.withColumn("_host", F.coalesce("host", F.lit(""))).drop("host")
+        same &= events["host"] == F.col("_host")
+    joined = events.join(d, same, "left")
     take = F.col("_path").isNotNull() & enrichable(
         F.col("kind"), F.col("path"), F.col("_size"), F.col("_is_mz")
     )

@@ -18,7 +18,7 @@ def replay(
     options = options or WatchOptions()
     prepared = ops.prepare_records(records, options, mount)
     kept = ops.emitted(ops.pair_renames(prepared), _checked_filter(records, options))
-    return throttle(kept, options.window_ms)
+    return throttle(kept, options.window_ms, key=(*ops.host_key(kept), "path", "kind"))
 
 
 def watch(

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..model import CHANGE_RECORD_SCHEMA
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(
+    spark: SparkSession, path: str, schema: StructType = CHANGE_RECORD_SCHEMA
+) -> DataFrame:
     """Finished batch of change records (Parquet)."""
-    return spark.read.schema(CHANGE_RECORD_SCHEMA).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def stream_records(
@@ -18,23 +21,33 @@ def stream_records(
     path: str,
     fmt: str = "parquet",
     max_files_per_trigger: int = 64,
-    ignore_corrupt_files: bool = True,
+    schema: StructType = CHANGE_RECORD_SCHEMA,
 ) -> DataFrame:
-    """Stream of change-record files as they arrive; a corrupt file is skipped, not fatal."""
+    """Stream of change-record files as they arrive.
+
+    A corrupt file fails its source, which ``await_sources`` reports; nothing is left out silently.
+    ``schema`` is ``FLEET_RECORD_SCHEMA`` for records that name their host.
+    """
     return (
-        spark.readStream.schema(CHANGE_RECORD_SCHEMA)
+        spark.readStream.schema(schema)
         .format(fmt)
         .option("maxFilesPerTrigger", max_files_per_trigger)
-        .option("ignoreCorruptFiles", str(ignore_corrupt_files).lower())
+        .option("ignoreCorruptFiles", "false")
         .load(path)
     )
 
 
 def stream_kafka_records(
-    spark: SparkSession, servers: str, topic: str, max_offsets_per_trigger: int = 5_000_000
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    max_offsets_per_trigger: int = 5_000_000,
+    schema: StructType = CHANGE_RECORD_SCHEMA,
 ) -> DataFrame:
     """Stream of JSON change records from Kafka, from the end of the topic on.
 
+    A message that is no JSON record fails the source instead of vanishing.
+
     Key the topic by volume: records of one volume must arrive in order. Needs the public
     ``spark-sql-kafka`` package on the class path.
     """
@@ -46,7 +59,7 @@ def stream_kafka_records(
         .option("maxOffsetsPerTrigger", max_offsets_per_trigger)
         .load()
     )
-    parsed = F.from_json(F.col("value").cast("string"), CHANGE_RECORD_SCHEMA)
+    parsed = F.from_json(F.col("value").cast("string"), schema, {"mode": "FAILFAST"})
     return raw.select(parsed.alias("r")).select("r.*")
 
 

@@ -70,7 +70,7 @@ class SnapshotStore:
     def snapshot_id(self, name: str) -> int:
         row = self.find(name)
         if row is None:
-            raise SnapshotNotFound(f"snapshot '{name}' not found")
+            raise SnapshotNotFound(f"no snapshot is called '{name}'")
         return row.id
 
     def reserve_id(self) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.query import StreamingQueryException
 
-from ..operators.events import enrich_events, event_digests
+from ..operators.events import enrich_events, event_digests, host_key
 from ..operators.manifest import collect_content, event_manifest
 
 
@@ -23,6 +23,7 @@ def event_rows(events: DataFrame) -> DataFrame:
         "kind",
         "path",
         "renamed_from",
+        *host_key(events),
         (F.col("sha256_hex") if "sha256_hex" in present else null).cast("string").alias("sha256_hex"),
         (F.col("size") if "size" in present else null).cast("long").alias("size"),
     )

@@ -1,7 +1,7 @@
 """Keyed state for streams: the last old name of a file, the last emission of a key.
 
 State is one small row per key and is evicted by a wall-clock time to live, so no row is ever
-dropped as late. A key's rows of one micro-batch are sorted before they meet the state; bound
+dropped as late: records from before a key's last emission are throttled among themselves. A key's rows of one micro-batch are sorted before they meet the state; bound
 the micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) to bound them.
 """
 
@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import values
-from ..operators.events import EVENT_COLUMNS, is_event
+from ..operators.events import event_columns, host_key, is_event
 
 _STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _MILLIS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
-PAIRED = "ts timestamp, usn long, volume string, frn long, kind string, path string, renamed_from string"
+_TYPES = {"ts": "timestamp", "usn": "long", "frn": "long"}
+
+
+def _paired(columns: tuple[str, ...]) -> str:
+    """Schema of events with their old names; what has no other type is a string."""
+    return ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in columns)
 
 
 def ttl_millis(text: str) -> int:
@@ -49,8 +54,9 @@ def set_up_state(df: DataFrame) -> None:
 class LastOldName(StatefulProcessor):
     """Renamed rows get the latest earlier old name of their file."""
 
-    def __init__(self, ttl_ms: int) -> None:
+    def __init__(self, ttl_ms: int, columns: tuple[str, ...]) -> None:
         self.ttl_ms = ttl_ms
+        self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.name = handle.getValueState("old_name", "old string", ttlDurationMs=self.ttl_ms)
@@ -68,14 +74,19 @@ class LastOldName(StatefulProcessor):
         if old != before:
             self.name.update((old,))
         batch["renamed_from"] = pd.Series(found, index=batch.index, dtype=object)
-        yield batch.loc[batch["kind"] == "Renamed", [*EVENT_COLUMNS, "renamed_from"]]
+        yield batch.loc[batch["kind"] == "Renamed", self.columns]
 
     def close(self) -> None:
         pass
 
 
 class LastEmission(StatefulProcessor):
-    """Leading-edge throttle on event time."""
+    """Leading-edge throttle on event time.
+
+    Only records less than a window away from the last emission, before or after it, are its
+    repeats. Older ones come late: none of them is lost, and repeats are dropped within the
+    micro-batch that brings them.
+    """
 
     def __init__(self, window_us: int, ttl_ms: int) -> None:
         self.window_us = window_us
@@ -88,17 +99,22 @@ class LastEmission(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True)
         batch = batch.sort_values(["at_us", "volume", "usn"], kind="stable")
         held = self.last.get()
-        due = held[0] + self.window_us if held else None
         times = batch["at_us"].to_numpy()
-        keep = []
-        at = 0 if due is None else int(np.searchsorted(times, due))
-        while at < len(times):
-            keep.append(at)
-            at = int(np.searchsorted(times, times[at] + self.window_us))
-        if keep:
+        late, due = 0, 0
+        if held:
+            late = int(np.searchsorted(times, held[0] - self.window_us, side="right"))
+            due = int(np.searchsorted(times, held[0] + self.window_us))
+        keep = [*self._emissions(times[:late]), *(due + at for at in self._emissions(times[due:]))]
+        if keep and (held is None or times[keep[-1]] > held[0]):
             self.last.update((int(times[keep[-1]]),))
         yield batch.iloc[keep].drop(columns=["at_us"])
 
+    def _emissions(self, times: np.ndarray) -> Iterator[int]:
+        at = 0
+        while at < len(times):
+            yield at
+            at = int(np.searchsorted(times, times[at] + self.window_us))
+
     def close(self) -> None:
         pass
 
@@ -108,16 +124,18 @@ def pair_renames_stream(prepared: DataFrame, state_ttl: str) -> DataFrame:
     set_up_state(prepared)
     old_half = values.has_bits(F.col("reason"), "RENAME_OLD_NAME")
     kept = is_event(F.col("kind"), F.col("reason"))
+    columns = event_columns(prepared)
+    paired = (*columns, "renamed_from")
     others = prepared.filter(kept & (F.col("kind") != "Renamed")).select(
-        *EVENT_COLUMNS, F.lit(None).cast("string").alias("renamed_from")
+        *columns, F.lit(None).cast("string").alias("renamed_from")
     )
     renames = (
         prepared.filter((F.col("kind") == "Renamed") | old_half)
-        .select(*EVENT_COLUMNS, old_half.alias("old_half"))
-        .groupBy("volume", "frn")
+        .select(*columns, old_half.alias("old_half"))
+        .groupBy("volume", "frn", *host_key(prepared))
         .transformWithStateInPandas(
-            statefulProcessor=LastOldName(ttl_millis(state_ttl)),
-            outputStructType=PAIRED,
+            statefulProcessor=LastOldName(ttl_millis(state_ttl), paired),
+            outputStructType=_paired(paired),
             outputMode="Append",
             timeMode="ProcessingTime",
         )
@@ -126,15 +144,15 @@ def pair_renames_stream(prepared: DataFrame, state_ttl: str) -> DataFrame:
 
 
 def throttle_stream(events: DataFrame, window_ms: int, state_ttl: str) -> DataFrame:
-    """Throttle of a stream, keyed by path and kind."""
+    """Throttle of a stream, keyed by path and kind, and by host where there is one."""
     set_up_state(events)
     ttl = max(ttl_millis(state_ttl), window_ms)
     return (
         events.withColumn("at_us", F.unix_micros("ts"))
-        .groupBy("path", "kind")
+        .groupBy("path", "kind", *host_key(events))
         .transformWithStateInPandas(
             statefulProcessor=LastEmission(window_ms * 1000, ttl),
-            outputStructType=PAIRED,
+            outputStructType=_paired(tuple(events.columns)),
             outputMode="Append",
             timeMode="ProcessingTime",
         )

@@ -24,18 +24,18 @@ def test_basename(rows):
 @pytest.mark.parametrize(
     "path, mount, want",
     [
-        (r"\\?\X:\dir\file.txt", "X:\\", r"X:\dir\file.txt"),
-        (r"\\?\x:\dir\file.txt", "X:\\", r"X:\dir\file.txt"),
-        (r"\\.\X:\dir\file.txt", "X:\\", r"X:\dir\file.txt"),
-        (r"\dir\file.txt", "X:\\", r"X:\dir\file.txt"),
-        (r"/dir/file.txt", "X:\\", r"X:/dir/file.txt"),
-        (r"dir\file.txt", "X:\\", r"X:\dir\file.txt"),
-        (r"D:\dir", "X:\\", r"D:\dir"),
-        (r"\\?\D:\dir", "X:\\", r"D:\dir"),
-        (r"\\server\share", "X:\\", r"\\server\share"),
-        (r"\\?\Volume{f083}\dir\file.txt", None, r"\\?\Volume{f083}\dir\file.txt"),
-        (r"\\?\Volume{f083}\dir", "C:\\mnt\\", r"\\?\Volume{f083}\dir"),
-        (r"\dir", None, r"\dir"),
+        (r"\\?\E:\logs\day.csv", "E:\\", r"E:\logs\day.csv"),
+        (r"\\?\e:\logs\day.csv", "E:\\", r"E:\logs\day.csv"),
+        (r"\\.\E:\logs\day.csv", "E:\\", r"E:\logs\day.csv"),
+        (r"\logs\day.csv", "E:\\", r"E:\logs\day.csv"),
+        (r"/logs/day.csv", "E:\\", r"E:/logs/day.csv"),
+        (r"logs\day.csv", "E:\\", r"E:\logs\day.csv"),
+        (r"Q:\logs", "E:\\", r"Q:\logs"),
+        (r"\\?\Q:\logs", "E:\\", r"Q:\logs"),
+        (r"\\server\share", "E:\\", r"\\server\share"),
+        (r"\\?\Volume{9}\logs\day.csv", None, r"\\?\Volume{9}\logs\day.csv"),
+        (r"\\?\Volume{9}\logs", "K:\\at\\", r"\\?\Volume{9}\logs"),
+        (r"\logs", None, r"\logs"),
     ],
 )
 def test_record_path(spark, path, mount, want):

@@ -51,7 +51,7 @@ def test_scan_store_diff_delete(spark, buckets):
     assert [r.name for r in store.list().collect()] == ["two", "one"]
     changes = diff_snapshots(store, "one", "two", DiffOptions())
     assert sorted(r.kind for r in changes.collect()) == ["Added", "Modified", "Removed"]
-    with pytest.raises(SnapshotNotFound, match="'zzz' not found"):
+    with pytest.raises(SnapshotNotFound, match="no snapshot is called 'zzz'"):
         diff_snapshots(store, "one", "zzz")
 
     # the hash pass rewrites one partition and leaves the other alone
@@ -130,7 +130,7 @@ def test_rule_file_and_maintenance(spark, tmp_path):
         (1, "prefix"), (2, "prefix"), (3, "regex"), (4, "prefix")]
     with pytest.raises(ValueError):
         rules.add_rule(frame, "regex", "(")
-    with pytest.raises(IndexError, match=r"index 7 out of range \(1..=4\)"):
+    with pytest.raises(IndexError, match="no rule number 7; there are 4"):
         rules.remove_rule(frame, "7")  # a number is a position, never a pattern
     with pytest.raises(LookupError):
         rules.remove_rule(frame, "no such pattern")

@@ -1,9 +1,11 @@
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftledger import WatchOptions, replay, watch
+from driftledger.model import FLEET_RECORD_SCHEMA
 from driftledger.sources.journal import read_records, stream_records, union_volumes
 from driftledger.streaming.runner import (
     await_sources,
@@ -77,6 +79,30 @@ def test_triage_batches_and_tolerated_source(spark, journal, tmp_path):
     assert files.select("target_name").distinct().count() == len({r["dumped_to"] for r in manifest})
 
 
+def test_late_records_and_hosts_are_kept(spark, tmp_path):
+    """Two hosts share path and id; the second file is hours older than the first."""
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+
+    def rows(first, *hours):
+        return [
+            (first + n, start + datetime.timedelta(hours=h), "C:", 7, 0x80000002, "C:\\\\x.exe", host)
+            for n, h in enumerate(hours) for host in ("h1", "h2")
+        ]
+
+    path = str(tmp_path / "in")
+    for part in (rows(1, 10, 10.5), rows(5, 2, 2.5, 9.5, 10.25)):
+        spark.createDataFrame(part, FLEET_RECORD_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    source = stream_records(spark, path, max_files_per_trigger=1, schema=FLEET_RECORD_SCHEMA)
+    query = write_events(watch(source, WINDOW), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
+    assert query.awaitTermination(150)
+    got = sorted((r["host"], (r["timestamp"] - start.timestamp()) / 3600) for r in map(json.loads, lines(tmp_path / "out")))
+    # 9.5 and 10.25 lie inside the window around the emission at 10, 2.5 inside that of 2
+    assert got == [(h, t) for h in ("h1", "h2") for t in (2, 10)]
+    batch = replay(read_records(spark, path, FLEET_RECORD_SCHEMA), WINDOW).collect()
+    assert sorted((r.host, (r.ts - start.replace(tzinfo=None)).total_seconds() / 3600) for r in batch) == [
+        (h, t) for h in ("h1", "h2") for t in (2, 9.5, 10.5)]
+
+
 def test_state_lifetime_text():
     assert ttl_millis("2 hours") == 7_200_000
     with pytest.raises(ValueError):
