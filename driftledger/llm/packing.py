@@ -3,7 +3,8 @@
 Groups of equal texts are the items. Small groups are bundled by hash, so the number of items stays
 below a fixed bound however many documents there are; groups above a bundle's share are items of
 their own and are cut into pieces when they are larger still. Items are placed in order of size, each
-into the shard where the dot product of its demand with the residual capacity is highest.
+into the shard where the dot product of its demand with the residual capacity is highest. Pieces of a
+group go together as long as the shards' bytes stay near equal.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ BUNDLES = 256
 _DIMS = ("size", "tokens", "rows")
 #: Bytes are the law, so their balance weighs most.
 _WEIGHTS = (512.0, 1.0, 1.0)
+#: Groups up to a share of a shard's capacity are placed whole; a smaller share is tried while a shard's
+#: bytes are further from the mean than this.
+WHOLE, UNEVEN = (1 / 4, 1 / 16, 1 / 64), 0.002
 
 
 def place(demand: np.ndarray, shards: int) -> np.ndarray:
@@ -39,12 +43,39 @@ def place(demand: np.ndarray, shards: int) -> np.ndarray:
     return chosen
 
 
+def place_groups(demand: np.ndarray, groups: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each item, where items of one group number share a shard if the balance allows it.
+
+    The largest share of ``WHOLE`` is taken at which the bytes come out near equal; if none does, every
+    item is placed by itself.
+    """
+    chosen = np.zeros(len(demand), np.int64)
+    if not len(demand):
+        return chosen
+    number, own = np.unique(groups, return_inverse=True)
+    whole = np.zeros((len(number), demand.shape[1]))
+    np.add.at(whole, own, demand)
+    capacity = np.maximum(demand.sum(axis=0) / shards, 1e-9)
+    largest = (whole / capacity).max(axis=1)[own]
+    for share in (*WHOLE, 0.0):
+        # units: whole groups, and single items of the groups above the share
+        unit = np.unique(np.where(largest <= share, own, len(number) + np.arange(len(demand))), return_inverse=True)[1]
+        units = np.zeros((unit.max() + 1, demand.shape[1]))
+        np.add.at(units, unit, demand)
+        chosen = place(units, shards)[unit]
+        filled = np.bincount(chosen, demand[:, 0], shards) / capacity[0]
+        if np.abs(filled - 1).max() <= UNEVEN:
+            break
+    return chosen
+
+
 def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", bundles: int = BUNDLES) -> DataFrame:
     """``docs`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard).
 
     ``docs`` has ``size`` (bytes), ``tokens`` and two group keys ``g1``, ``g2`` that are equal for equal
-    texts. A group stays in one shard unless it is larger than a bundle's share of all bytes or rows
-    (``1 / (shards * bundles)``); it is then cut into pieces of about that share by a hash of the id.
+    texts. A group larger than a bundle's share of all bytes or rows (``1 / (shards * bundles)``) is cut
+    into pieces of about that share by a hash of the id, so that no task holds a large group; the pieces
+    still share a shard, unless the group is so large that the bytes would become uneven (``WHOLE``).
     Slots follow the items' order, inside an item the group keys and ids. Equal rows share a
     consecutive run of slots. An empty table stays empty. Existing columns ``shard`` and ``slot`` are
     replaced.
@@ -80,7 +111,10 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", bundles: int = B
     items = sums["_item"].map(lambda x: (x["a"], x["b"], x["c"]))
     sums = sums.assign(key=items).sort_values("key", ignore_index=True)
     demand = sums[list(_DIMS)].fillna(0).to_numpy(dtype=np.float64).reshape(-1, len(_DIMS))
-    sums["shard"] = place(demand, shards)
+    # bundles stand alone; the pieces of a large group have its keys
+    group = {k: n for n, k in enumerate(dict.fromkeys(x[:2] if x[2] >= count else x for x in sums["key"]))}
+    groups_of = np.array([group[x[:2] if x[2] >= count else x] for x in sums["key"]], np.int64)
+    sums["shard"] = place_groups(demand, groups_of, shards)
     sums["start"] = sums.groupby("shard")["rows"].cumsum() - sums["rows"]
     placed = spark.createDataFrame(
         [(*k, int(s), int(o)) for k, s, o in zip(sums["key"], sums["shard"], sums["start"])],

@@ -250,6 +250,23 @@ def test_top_k_in_small_cells(spark):
         assert out[i] == sorted(((j, int(s)) for j, s in enumerate(scores) if j != i), key=lambda x: (-x[1], x[0]))[:4]
 
 
+def test_groups_stay_whole_while_bytes_stay_even():
+    r = np.random.default_rng(3)
+    bytes_ = np.concatenate([r.integers(50, 60, 4000), np.full(8 * 20, 100), np.full(400, 90)]).astype(float)
+    demand = np.column_stack([bytes_, bytes_ / 5, np.ones(len(bytes_))])
+    groups = np.concatenate([np.arange(4000), 4000 + np.repeat(np.arange(8), 20), np.full(400, 5000)])
+    chosen = packing.place_groups(demand, groups, 8)
+    filled = np.bincount(chosen, bytes_, 8)
+    assert abs(filled / filled.mean() - 1).max() <= packing.UNEVEN
+    assert all(len(set(chosen[groups == 4000 + g])) == 1 for g in range(8))
+    assert len(set(chosen[groups == 5000])) > 1  # above the largest share of a shard
+    # nothing but large groups: balance goes first
+    demand = np.column_stack([np.full(500, 100.0)] * 3)
+    filled = np.bincount(packing.place_groups(demand, np.repeat(np.arange(5), 100), 4), minlength=4)
+    assert list(filled) == [125] * 4
+    assert len(packing.place_groups(demand[:0], np.zeros(0, np.int64), 4)) == 0
+
+
 def test_packing(spark):
     texts = [f"text {i} " * (i % 30) for i in range(1500)] + ["copy " * 20] * 800 + EDGES
     rows = packing.shard(queries.shard_input(docs_of(spark, texts)), 8, bundles=64).collect()
