@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftledger.functions import paths, values
-from driftledger.model import DiffOptions, Rule, WatchOptions
+from driftledger.model import FILE_SCHEMA, DiffOptions, Rule, ScanOptions, WatchOptions
 from driftledger.operators import diff as diffs
 from driftledger.operators import enrich, events, ingest, manifest, report, rules, selection
 from driftledger.operators.throttle import throttle
-from driftledger.plans.compare import diff
+from driftledger.plans.compare import diff, diff_snapshots
 from driftledger.plans.compare import diff_summary as diff_counts
 from driftledger.plans.monitor import replay, watch
-from driftledger.sources import store
+from driftledger.plans.scan import ingest_snapshot
+from driftledger.sources import journal, rulefile, store
 from driftledger.sources.workdir import fresh_path
+from driftledger.streaming import runner
 
 from . import derive
 
@@ -173,6 +176,20 @@ def rule_list(spark, d):
     return rules.list_rules(rules.distinct_rules(rows), {"LOCALAPPDATA": "C:\\Users\\me"})
 
 
+@query
+def rules_roundtrip(spark, d):
+    """Collected rules edited by position and by addition, saved to a rules file and read back."""
+    rows = derive.table(spark, d, "part").select(
+        F.col("p_partkey").cast("int").alias("pos"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("prefix")).otherwise(F.lit("glob")).alias("kind"),
+        F.concat(F.lit("%LOCALAPPDATA%\\"), "p_brand").alias("pattern"),
+    )
+    edited = rules.add_rule(rules.remove_rule(rules.distinct_rules(rows), "2"), "glob", "*.swp")
+    path = fresh_path(spark, "rules")
+    rulefile.write_rules(spark, rules.rules_from(edited), path)
+    return rules.list_rules(rulefile.read_rules(spark, path), {"LOCALAPPDATA": "C:\\Users\\me"})
+
+
 @query
 def rule_expand(spark, d):
     """Per-host expansion: every host brings its own value."""
@@ -229,6 +246,38 @@ def snapshot_delete(spark, d):
     )
 
 
+def _new_store(spark, label):
+    """An empty store in a database of its own, below the shared work folder."""
+    name = f"{label}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{fresh_path(spark, label)}'")
+    return store.SnapshotStore(spark, name).create()
+
+
+@query
+def scan_store(spark, d):
+    """Two scans into a store, the second one deleted again: the first one's rows are all there."""
+    own, records = _new_store(spark, "scan_store"), derive.scan_records(spark, d)
+    options = ScanOptions(rules=(Rule("prefix", "C:\\Noise"), Rule("glob", "*.log")))
+    ingest_snapshot(own, records, "first", options, snapshot_id=7)
+    ingest_snapshot(own, records, "second", snapshot_id=8)
+    own.delete("second")
+    return own.files().select("snapshot_id", "volume", "frn", "parent_frn", "path", "name", "size", "mtime", "ctime", "is_dir", "sha256", "digest2")
+
+
+@query
+def store_diff(spark, d):
+    """Two stored snapshots found by name and compared, next to a third that comes and goes."""
+    own = _new_store(spark, "store_diff")
+    for number, (name, rows) in enumerate(zip(("before", "after"), derive.documents_pair(spark, d)), 1):
+        rows = rows.withColumn("snapshot_id", F.lit(number).cast("long"))
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in FILE_SCHEMA if f.name not in rows.columns]
+        own.write_files(rows.select("*", *missing), number)
+        own.register(name, number, taken_at=number)
+    ingest_snapshot(own, derive.scan_records(spark, d), "other", snapshot_id=3)
+    own.delete("other")
+    return diff_snapshots(own, "before", "after")
+
+
 # enrichment
 
 
@@ -345,6 +394,24 @@ def clock_values(spark, d):
     )
 
 
+@query
+def digest_values(spark, d):
+    return derive.table(spark, d, "documents").select(
+        "doc_id",
+        values.hex_lower(F.encode("text", "UTF-8")).alias("hex"),
+        values.sha256_hex(F.encode("text", "UTF-8")).alias("sha256"),
+    )
+
+
+@query
+def prefix_forms(spark, d):
+    """Separators of both kinds, and none to three of them at the end."""
+    k = F.col("page_id") % 4
+    tail = F.when(k == 1, F.lit("/")).when(k == 2, F.lit("\\/")).when(k == 3, F.lit("//\\")).otherwise(F.lit(""))
+    path = F.concat(F.replace("url", F.lit("="), F.lit("\\")), tail)
+    return derive.table(spark, d, "pages").select("page_id", paths.normalize_prefix(path).alias("prefix_form"))
+
+
 # change records
 
 
@@ -417,6 +484,23 @@ def event_stream(spark, d):
     return spark.read.schema(found.schema).parquet(os.path.join(out, "rows"))
 
 
+@query
+def event_jsonl(spark, d):
+    """Two record streams merged into one watch; its JSON lines read back."""
+    schema = derive.table(spark, d, "events").schema
+
+    def half(k):
+        source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        return derive.change_records(source.where(F.col("event_id") % 2 == k))
+
+    out = fresh_path(spark, "event-jsonl")
+    rows, checkpoint = os.path.join(out, "rows"), os.path.join(out, "checkpoint")
+    found = watch(journal.union_volumes([half(0), half(1)]), WatchOptions(window_ms=HOUR_MS))
+    runner.write_events(found, rows, checkpoint, available_now=True).awaitTermination()
+    line = "timestamp long, volume string, kind string, path string, renamed_from string, sha256_hex string, size long"
+    return spark.read.schema(line).json(rows)
+
+
 # triage
 
 
