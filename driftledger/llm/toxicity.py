@@ -1,16 +1,18 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over the terms that tell the labels apart; the nearest labelled examples by
-exact cosine are found in a block-max inverted index, and their votes, weighted by distance, give a
-calibrated score and the evidence for it.
+Whole texts are TF-IDF vectors, where terms weigh more the further their odds differ between the labels;
+the nearest labelled examples by exact cosine are found in an inverted index, and their votes, weighted
+by distance, give a calibrated score and the evidence for it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,98 +22,170 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from .common import add_columns, hashed_sample, stored
 
-#: Bounds of the model: labelled rows it is fitted on, and terms.
-TRAIN_ROWS, TERMS = 20_000, 2048
-#: A term must tell the labels apart beyond chance (twice the log-likelihood ratio), and its share of
-#: label 1 must differ from the overall share by this factor.
-EVIDENCE, LIFT = 24.0, 2.0
-NEIGHBOURS, BLOCK = 15, 64
+#: Bound of the model: labelled rows it is fitted on.
+TRAIN_ROWS = 20_000
+#: A term's weight is its idf times ``BASE`` plus what its log odds ratio exceeds ``SURE`` standard errors by.
+BASE, SURE = 0.05, 3.0
+#: Terms in the most examples are kept as a dense matrix; texts are compared so many at a time.
+NEIGHBOURS, DENSE, BATCH = 15, 512, 64
 _TERM = re.compile(r"[^\W\d_]+")
-#: A single letter run longer than this is no term of any language.
+#: A longer letter run is known by its digest, so that no term is large.
 _LONGEST = 100
 
 
 def terms(text: str | None) -> list[str]:
-    return _TERM.findall(text.lower()) if text else []
+    if not text:
+        return []
+    found = _TERM.findall(text.lower())
+    if len(text) > _LONGEST:
+        return [t if len(t) <= _LONGEST else hashlib.blake2b(t.encode(), digest_size=16).hexdigest() for t in found]
+    return found
+
+
+def strength(n0: np.ndarray, n1: np.ndarray, y0: float, y1: float) -> np.ndarray:
+    """Factor of terms in ``n0`` of ``y0`` clean and ``n1`` of ``y1`` toxic examples.
+
+    Rests on the odds ratio, which does not depend on how many examples are toxic. No factor is zero.
+    """
+    a, b, c, d = n1 + 0.5, y1 - n1 + 0.5, n0 + 0.5, y0 - n0 + 0.5
+    apart = np.abs(np.log(a * d / (b * c))) - SURE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return BASE + np.maximum(apart, 0)
 
 
 @dataclass
 class Index:
-    """Examples in blocks; per term the blocks' highest weight and the postings of each block.
+    """Postings per term; of the terms in the most examples a row each in a dense matrix instead.
 
-    Examples are ordered by their heaviest term, so that blocks hold similar ones and their bounds
-    are tight.
+    Only the places and counts of the postings are sent to executors, which weigh them again.
     """
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # weight of a term: idf times strength
+    unseen: float  # weight of a term that no example has
     ids: np.ndarray
     labels: np.ndarray
-    heads: np.ndarray  # terms x blocks: highest weight
-    starts: np.ndarray  # terms x (blocks + 1): where a block's postings begin
-    places: np.ndarray
-    weights: np.ndarray
     prior: float
     empty: float
+    held: np.ndarray  # examples per term
+    places: np.ndarray  # by term
+    counts: np.ndarray
+
+    def __post_init__(self):
+        self.fill()
+
+    def __getstate__(self):
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.fill()
+
+    def fill(self) -> None:
+        """Make ``rank`` (per term: its row in ``dense``, or -1), ``dense`` (terms x examples), and of the
+        other terms ``starts`` (where their postings begin in ``seats``) and ``weights``."""
+        term = np.repeat(np.arange(len(self.held)), self.held)
+        weight = (1 + np.log(self.counts.astype(np.float64))) * self.idf[term]
+        size = len(self.ids)
+        weight /= np.sqrt(np.bincount(self.places, weight * weight, minlength=size))[self.places]
+        self.rank = np.full(len(self.held), -1, np.int64)
+        top = np.argsort(-self.held.astype(np.int64), kind="stable")[:DENSE]
+        self.rank[top] = np.arange(len(top))
+        self.dense = np.zeros((len(top), size))
+        often = self.rank[term] >= 0
+        self.dense[self.rank[term[often]], self.places[often]] = weight[often]
+        self.starts = np.concatenate([[0], np.cumsum(np.where(self.rank < 0, self.held, 0))]).astype(np.int64)
+        self.seats, self.weights = self.places[~often].astype(np.int32), weight[~often]
 
     @classmethod
     def build(cls, vocabulary, frequency, total, examples) -> Index:
-        """``examples``: (id, label, {term number: count}). Those without a known term only give ``empty``."""
-        idf = np.log((1 + total) / (1 + np.asarray(frequency, np.float64))) + 1
-        y = np.array([e[1] for e in examples], np.float64)
+        """``examples``: (id, label, {term number: count}). Those without a term only give ``empty``."""
+        sizes = np.array([len(e[2]) for e in examples], np.int64)
+        term = np.array([t for e in examples for t in e[2]], np.int64)
+        count = np.array([n for e in examples for n in e[2].values()], np.int64)
+        return cls.of(vocabulary, frequency, total, [e[0] for e in examples], [e[1] for e in examples], sizes, term, count)
+
+    @classmethod
+    def of(cls, vocabulary, frequency, total, ids, labels, sizes, term, count) -> Index:
+        """The same from flat arrays: ``sizes`` terms of each example after each other in ``term`` and ``count``."""
+        y = np.array(labels, np.float64)
         prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
-        bare = np.array([not e[2] for e in examples], bool)
+        bare = sizes == 0
         empty = float((y[bare].sum() + 2 * prior) / (bare.sum() + 2)) if len(y) else prior
-        full = []
-        for key, label, counts in examples:
-            if counts:
-                numbers, weights = unit(counts, idf)
-                full.append((int(numbers[weights.argmax()]), str(key)[::-1], key, label, numbers, weights))
-        full.sort(key=lambda e: e[:2])
-        blocks = max(1, -(-len(full) // BLOCK))
-        term = np.concatenate([e[4] for e in full]) if full else np.zeros(0, np.int64)
-        place = np.repeat(np.arange(len(full)), [len(e[4]) for e in full]) if full else np.zeros(0, np.int64)
-        weight = np.concatenate([e[5] for e in full]) if full else np.zeros(0)
-        order = np.lexsort((place, term))
-        term, place, weight = term[order], place[order], weight[order]
-        heads = np.zeros((len(vocabulary), blocks))
-        np.maximum.at(heads, (term, place // BLOCK), weight)
-        cell = term * blocks + place // BLOCK
-        starts = np.searchsorted(cell, np.arange(len(vocabulary) * blocks + 1))
+        width = len(vocabulary)
+        # examples with terms, in an order that does not depend on how the rows came
+        order = np.array(sorted(np.flatnonzero(~bare).tolist(), key=lambda i: (str(ids[i])[::-1], labels[i])), np.int64)
+        seat = np.full(len(sizes), -1, np.int64)
+        seat[order] = np.arange(len(order))
+        example = np.repeat(np.arange(len(sizes)), sizes)
+        toxic = y[example] > 0
+        n1, n = np.bincount(term[toxic], minlength=width), np.bincount(term, minlength=width)
+        own = strength(n - n1, n1, len(y) - y.sum(), y.sum())
+        idf = (np.log((1 + total) / (1 + np.asarray(frequency, np.float64))) + 1) * own
+        place = seat[example]
+        by_term = np.lexsort((place, term))
+        small = [np.min_scalar_type(int(x.max(initial=0))) for x in (place, count)]
         return cls(
-            vocabulary, idf, np.array([-1 if e[2] is None else e[2] for e in full], np.int64),
-            np.array([e[3] for e in full], np.int8), heads, starts, place, weight, prior, empty,
+            vocabulary, idf, float(BASE * (np.log((1 + total) / 2) + 1)),
+            np.array([-1 if ids[i] is None else ids[i] for i in order], np.int64),
+            np.array([labels[i] for i in order], np.int8), prior, empty, n.astype(np.int32),
+            place[by_term].astype(small[0]), count[by_term].astype(small[1]),
         )
 
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` nearest examples (cosine, place), exactly; ties go to the smaller place."""
-        bounds = weights @ self.heads[numbers]
-        blocks = self.heads.shape[1]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[: np.count_nonzero(bounds > 0)]
-        scores, places, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 4
-        while at < len(order):
-            if len(scores) == k:
-                # blocks that can still hold a score as high as the k-th one
-                order = order[: max(at, np.count_nonzero(bounds[order] * (1 + 1e-9) >= scores[-1]))]
-            some = order[at : at + step]
-            at, step = at + step, 2 * step
-            cell = (numbers[:, None] * blocks + some).ravel()
-            begin, size = self.starts[cell], self.starts[cell + 1] - self.starts[cell]
-            posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
-            found, own = np.unique(self.places[posting], return_inverse=True)
-            part = np.bincount(own, np.repeat(np.repeat(weights, len(some)), size) * self.weights[posting])
-            scores = np.concatenate([scores, np.round(part, 12)])
-            places = np.concatenate([places, found])
-            best = np.lexsort((places, -scores))[:k]
-            scores, places = scores[best], places[best]
-        return list(zip(scores.tolist(), places.tolist()))
-
-    def judge(self, text: str | None, k: int) -> tuple[float, list[tuple[int, int, float]]]:
-        """Score and evidence (example, label, cosine) of a whole text."""
-        known = self.vocabulary
-        counts = Counter(known[t] for t in terms(text) if t in known)
-        found = self.nearest(*unit(counts, self.idf), k) if counts else []
+        return self.nearest_of([(numbers, weights)], k)[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each vector. Every example is scored on all terms."""
+        size = len(self.ids)
+        if not size or not vectors:
+            return [[] for _ in vectors]
+        query = np.zeros((len(vectors), len(self.dense)))
+        for row, (numbers, weights) in zip(query, vectors):
+            rank = self.rank[numbers]
+            row[rank[rank >= 0]] = weights[rank >= 0]
+        scores = query @ self.dense
+        out = []
+        seats, values = self.seats, self.weights
+        for row, (numbers, weights) in zip(scores, vectors):
+            numbers, weights = numbers[self.rank[numbers] < 0], weights[self.rank[numbers] < 0]
+            if len(numbers):
+                begin, end = self.starts[numbers], self.starts[numbers + 1]
+                spans = list(map(slice, begin.tolist(), end.tolist()))
+                part = np.concatenate([values[x] for x in spans]) * np.repeat(weights, end - begin)
+                row += np.bincount(np.concatenate([seats[x] for x in spans]), part, size)
+            if size > k:
+                # all that can be among the first k after rounding
+                floor = np.partition(row, size - k)[size - k] - 1e-11
+                some = np.flatnonzero((row >= floor) & (row > 0))
+            else:
+                some = np.flatnonzero(row > 0)
+            own = np.round(row[some], 12)
+            best = np.lexsort((some, -own))[:k]
+            out.append([(s, p) for s, p in zip(own[best].tolist(), some[best].tolist()) if s > 0])
+        return out
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of a whole text's known terms; the length is that of all its terms."""
+        counts = Counter(terms(text))
+        numbers = np.array([*map(self.vocabulary.get, counts, repeat(-1))], np.int64)
+        weights = 1 + np.log(np.array([*counts.values()], np.float64))
+        weights *= np.where(numbers >= 0, self.idf[numbers], self.unseen) if len(self.idf) else self.unseen
+        length = np.sqrt((weights * weights).sum())
+        order = np.argsort(numbers)[np.count_nonzero(numbers < 0) :]
+        return numbers[order], weights[order] / (length or 1.0)
+
+    def judge_all(self, texts: list[str | None], k: int) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Score and evidence (example, label, cosine) of whole texts."""
+        out = []
+        for low in range(0, len(texts), BATCH):
+            part = texts[low : low + BATCH]
+            single = list(dict.fromkeys(part))
+            found = dict(zip(single, self.nearest_of([self.vector(t) for t in single], k)))
+            out += [self.verdict(found[t]) for t in part]
+        return out
+
+    def verdict(self, found: list[tuple[float, int]]) -> tuple[float, list[tuple[int, int, float]]]:
         if not found:
             return self.empty, []
         votes = [1 / (1.05 - min(s, 1.0)) for s, _ in found]
@@ -126,65 +200,50 @@ def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return numbers, weights / np.sqrt((weights * weights).sum())
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[str, list[int]] = {}
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            for t in set(terms(text)):
-                if len(t) <= _LONGEST:
-                    seen.setdefault(t, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen.keys(), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()),
-             pa.array([v[1] for v in seen.values()], pa.int64())], ["term", "n0", "n1"],
-        )
+        seen = set()
+        for text in batch.column("text").to_pylist():
+            seen.update(terms(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["term"])
 
 
 def train(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    rows: int = TRAIN_ROWS, size: int = TERMS, evidence: float = EVIDENCE,
+    rows: int = TRAIN_ROWS,
 ) -> Index:
     """Fit on about ``rows`` labelled rows, picked by a hash of their id; equal texts count once.
 
     A row without label or id is not learnt from; of several labels of one id the highest holds. The
-    sample's ids are broadcast (``rows`` bounds them), term statistics are aggregated in Spark, and the
-    driver gets ``size`` terms and the examples' counts of those.
+    sample's ids are broadcast (``rows`` bounds them), and the driver gets the terms of its texts and
+    the examples' counts of those.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     chosen = chosen.groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("label"))
     chosen = F.broadcast(hashed_sample(chosen, "id", rows))
     known = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(chosen, "id")
     known = stored(known.dropDuplicates(["text"]), "toxicity-sample")
-    totals = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("y")).first()
-    counted = known.select("text", "label").mapInArrow(_term_counts, "term string, n0 long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n0, n1 = float(totals.n - totals.y), float(totals.y)
-
-    def part(seen, of):
-        return F.when(seen > 0, seen * F.log(seen / F.greatest(of, F.lit(1e-9)))).otherwise(0.0)
-
-    df, n = F.col("n0") + F.col("n1"), n0 + n1
-    g = 2 * (
-        part(F.col("n0"), df * n0 / n) + part(F.col("n1"), df * n1 / n)
-        + part(n0 - F.col("n0"), (n - df) * n0 / n) + part(n1 - F.col("n1"), (n - df) * n1 / n)
-    ) if n else F.lit(0.0)
-    rate = F.col("n1") / df * (n / n1 if n1 else 0.0)
-    apart = (F.col("g") >= evidence) & ((rate >= LIFT) | (rate <= 1 / LIFT))
-    best = counted.withColumn("g", g).where(apart).orderBy(F.desc("g"), "term").limit(size).collect()
-    vocabulary = {r.term: i for i, r in enumerate(best)}
+    vocabulary = known.select("text").mapInArrow(_distinct_terms, "term string").distinct().toArrow()
+    vocabulary = {t: i for i, t in enumerate(sorted(vocabulary.column(0).to_pylist()))}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         own, numbers, counts = shared.value, [], []
         for t in texts.to_pylist():
-            c = Counter(own[x] for x in terms(t) if x in own)
+            c = Counter(own[x] for x in terms(t))
             numbers.append(list(c.keys()))
             counts.append(list(c.values()))
         return [pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
 
-    fields = [StructField(n, ArrayType(IntegerType())) for n in ("numbers", "counts")]
-    found = add_columns(known, ["text"], fields, compute, ["id", "label"]).collect()
-    examples = [(r.id, r.label, dict(zip(r.numbers, r.counts))) for r in found]
-    return Index.build(vocabulary, [r.n0 + r.n1 for r in best], totals.n, examples)
+    made = [StructField(n, ArrayType(IntegerType())) for n in ("numbers", "counts")]
+    found = add_columns(known, ["text"], made, compute, ["id", "label"]).toArrow().combine_chunks()
+    sizes = found.column("numbers").combine_chunks()
+    term = sizes.flatten().to_numpy(zero_copy_only=False)
+    count = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = sizes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    frequency, total = np.bincount(term, minlength=len(vocabulary)), len(sizes)
+    ids, marks = found.column("id").to_pylist(), found.column("label").to_pylist()
+    return Index.of(vocabulary, frequency, total, ids, marks, sizes, term, count)
 
 
 def score(
@@ -192,9 +251,9 @@ def score(
 ) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``.
 
-    ``evidence`` lists the nearest examples: id, label, cosine. A text without a known term (also null
-    or empty) scores as the labelled examples without one do, and has no evidence; without any example
-    every text scores 0. Rows are judged one by one; columns of these names are replaced.
+    ``evidence`` lists the nearest examples: id, label, cosine. A text that shares no term with an
+    example (also null or empty) scores as the labelled examples without terms do, and has no evidence;
+    without any example every text scores 0. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     row = StructType([StructField("id", LongType()), StructField("label", IntegerType()), StructField("cosine", DoubleType())])
@@ -202,12 +261,12 @@ def score(
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         own = shared.value
-        found = [own.judge(t, k) for t in texts.to_pylist()]
+        found = own.judge_all(texts.to_pylist(), k)
         return [
             pa.array([s for s, _ in found], pa.float64()),
             pa.array([int(s >= 0.5) for s, _ in found], pa.int32()),
             pa.array([[{"id": i, "label": y, "cosine": c} for i, y, c in e] for _, e in found], arrow),
         ]
 
-    fields = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("evidence", ArrayType(row))]
-    return add_columns(docs, [text], fields, compute, keep)
+    made = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("evidence", ArrayType(row))]
+    return add_columns(docs, [text], made, compute, keep)

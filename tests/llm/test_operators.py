@@ -112,6 +112,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_compares_whole_texts(spark):
+    # no term tells the labels apart beyond chance, and yet every text has its nearest examples
+    docs = docs_of(spark, ["red fox", "blue whale", "green frog", "red fox jumps", "whale", "unheard " * 3, "green " + "q" * 200])
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert [out[i].evidence[0].id for i in (0, 1, 2, 3, 4, 6)] == [0, 1, 2, 0, 1, 2] and not out[5].evidence
+    assert round(out[0].evidence[0].cosine, 9) == 1
+    # words that no example has count for the length of a text
+    assert out[3].evidence[0].cosine < 0.9 and out[6].evidence[0].cosine < 0.7
+
+
 def test_gumbel_top_is_exact(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)] + [(1, 1.0)] * 3, "doc_id long, log_weight double")
     for k in (0, 1, 100, 503, 900):
