@@ -110,7 +110,8 @@ class Index:
         y = np.array(labels, np.float64)
         prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
         bare = sizes == 0
-        empty = float((y[bare].sum() + 2 * prior) / (bare.sum() + 2)) if len(y) else prior
+        # without evidence a text is clean, unless the examples without terms are mostly toxic
+        empty = float(y[bare].sum() / (bare.sum() + 2))
         width = len(vocabulary)
         # examples with terms, in an order that does not depend on how the rows came
         order = np.array(sorted(np.flatnonzero(~bare).tolist(), key=lambda i: (str(ids[i])[::-1], labels[i])), np.int64)

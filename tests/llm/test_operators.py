@@ -123,6 +123,19 @@ def test_toxicity_compares_whole_texts(spark):
     assert out[3].evidence[0].cosine < 0.9 and out[6].evidence[0].cosine < 0.7
 
 
+def test_toxicity_of_mostly_toxic_labels(spark):
+    r = random.Random(4)
+    prose = [" ".join(r.choice("abcdefgh") * 3 for _ in range(12)) + f" n{chr(97 + i % 26)}" for i in range(300)]
+    texts = [t + (" idiot" if i % 5 < 3 else "") for i, t in enumerate(prose)] + EDGES
+    rows = [(i, int(i % 5 < 3)) for i in range(200)]
+    docs = docs_of(spark, texts)
+    index = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    out = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    assert all(out[i].predicted == int(i % 5 < 3) for i in range(300))
+    # null, empty and blank texts have no evidence
+    assert all(out[i].predicted == 0 and not out[i].evidence for i in (300, 301, 302))
+
+
 def test_gumbel_top_is_exact(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)] + [(1, 1.0)] * 3, "doc_id long, log_weight double")
     for k in (0, 1, 100, 503, 900):
