@@ -12,10 +12,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -52,6 +53,17 @@ def strength(n0: np.ndarray, n1: np.ndarray, y0: float, y1: float) -> np.ndarray
     return BASE + np.maximum(apart, 0)
 
 
+class Vocabulary(dict):
+    """Terms and their numbers, in order from 0; sent as one string."""
+
+    @classmethod
+    def of(cls, joined: str) -> Vocabulary:
+        return cls(zip(joined.split("\n"), count())) if joined else cls()
+
+    def __reduce__(self):
+        return Vocabulary.of, ("\n".join(self),)
+
+
 @dataclass
 class Index:
     """Postings per term; of the terms in the most examples a row each in a dense matrix instead.
@@ -71,14 +83,10 @@ class Index:
     counts: np.ndarray
 
     def __post_init__(self):
-        self.fill()
+        self.dense = None
 
     def __getstate__(self):
-        return {f.name: getattr(self, f.name) for f in fields(self)}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.fill()
+        return {f.name: getattr(self, f.name) for f in fields(self)} | {"dense": None}
 
     def fill(self) -> None:
         """Make ``rank`` (per term: its row in ``dense``, or -1), ``dense`` (terms x examples), and of the
@@ -101,12 +109,12 @@ class Index:
         """``examples``: (id, label, {term number: count}). Those without a term only give ``empty``."""
         sizes = np.array([len(e[2]) for e in examples], np.int64)
         term = np.array([t for e in examples for t in e[2]], np.int64)
-        count = np.array([n for e in examples for n in e[2].values()], np.int64)
-        return cls.of(vocabulary, frequency, total, [e[0] for e in examples], [e[1] for e in examples], sizes, term, count)
+        often = np.array([n for e in examples for n in e[2].values()], np.int64)
+        return cls.of(vocabulary, frequency, total, [e[0] for e in examples], [e[1] for e in examples], sizes, term, often)
 
     @classmethod
-    def of(cls, vocabulary, frequency, total, ids, labels, sizes, term, count) -> Index:
-        """The same from flat arrays: ``sizes`` terms of each example after each other in ``term`` and ``count``."""
+    def of(cls, vocabulary, frequency, total, ids, labels, sizes, term, often) -> Index:
+        """The same from flat arrays: ``sizes`` terms of each example after each other in ``term`` and ``often``."""
         y = np.array(labels, np.float64)
         prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
         bare = sizes == 0
@@ -115,21 +123,21 @@ class Index:
         width = len(vocabulary)
         # examples with terms, in an order that does not depend on how the rows came
         order = np.array(sorted(np.flatnonzero(~bare).tolist(), key=lambda i: (str(ids[i])[::-1], labels[i])), np.int64)
-        seat = np.full(len(sizes), -1, np.int64)
+        seat = np.full(len(sizes), -1, np.int32)
         seat[order] = np.arange(len(order))
-        example = np.repeat(np.arange(len(sizes)), sizes)
+        example = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         toxic = y[example] > 0
         n1, n = np.bincount(term[toxic], minlength=width), np.bincount(term, minlength=width)
         own = strength(n - n1, n1, len(y) - y.sum(), y.sum())
         idf = (np.log((1 + total) / (1 + np.asarray(frequency, np.float64))) + 1) * own
         place = seat[example]
-        by_term = np.lexsort((place, term))
-        small = [np.min_scalar_type(int(x.max(initial=0))) for x in (place, count)]
+        by_term = np.argsort(term.astype(np.int64) * (len(order) + 1) + place)
+        small = [np.min_scalar_type(int(x.max(initial=0))) for x in (place, often)]
         return cls(
             vocabulary, idf, float(BASE * (np.log((1 + total) / 2) + 1)),
             np.array([-1 if ids[i] is None else ids[i] for i in order], np.int64),
             np.array([labels[i] for i in order], np.int8), prior, empty, n.astype(np.int32),
-            place[by_term].astype(small[0]), count[by_term].astype(small[1]),
+            place[by_term].astype(small[0]), often[by_term].astype(small[1]),
         )
 
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -141,6 +149,8 @@ class Index:
         size = len(self.ids)
         if not size or not vectors:
             return [[] for _ in vectors]
+        if self.dense is None:
+            self.fill()
         query = np.zeros((len(vectors), len(self.dense)))
         for row, (numbers, weights) in zip(query, vectors):
             rank = self.rank[numbers]
@@ -209,6 +219,28 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["term"])
 
 
+def document_frequency(docs: DataFrame, vocabulary: Broadcast, width: int) -> tuple[np.ndarray, int]:
+    """In how many rows of ``text`` each term of the vocabulary occurs, and the rows; tasks send sums only."""
+
+    def run(batches):
+        own, total, rows = vocabulary.value, np.zeros(width, np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch.column("text").to_pylist():
+                found = np.array([*map(own.get, set(terms(text)), repeat(-1))], np.int64)
+                total[found[found >= 0]] += 1
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], ["number", "n"]
+        )
+
+    sums = docs.mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    number, n = (sums.column(c).to_numpy() for c in ("number", "n"))
+    out = np.zeros(width, np.int64)
+    out[number[number >= 0]] = n[number >= 0]
+    return out, int(n[number < 0].sum())
+
+
 def train(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     rows: int = TRAIN_ROWS,
@@ -217,7 +249,7 @@ def train(
 
     A row without label or id is not learnt from; of several labels of one id the highest holds. The
     sample's ids are broadcast (``rows`` bounds them), and the driver gets the terms of its texts and
-    the examples' counts of those.
+    the examples' counts of those. In how many texts a term occurs is counted over all of ``docs``.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     chosen = chosen.groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("label"))
@@ -225,7 +257,7 @@ def train(
     known = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(chosen, "id")
     known = stored(known.dropDuplicates(["text"]), "toxicity-sample")
     vocabulary = known.select("text").mapInArrow(_distinct_terms, "term string").distinct().toArrow()
-    vocabulary = {t: i for i, t in enumerate(sorted(vocabulary.column(0).to_pylist()))}
+    vocabulary = Vocabulary(zip(sorted(vocabulary.column(0).to_pylist()), count()))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
@@ -237,14 +269,16 @@ def train(
         return [pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
 
     made = [StructField(n, ArrayType(IntegerType())) for n in ("numbers", "counts")]
-    found = add_columns(known, ["text"], made, compute, ["id", "label"]).toArrow().combine_chunks()
-    sizes = found.column("numbers").combine_chunks()
-    term = sizes.flatten().to_numpy(zero_copy_only=False)
-    count = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    sizes = sizes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    frequency, total = np.bincount(term, minlength=len(vocabulary)), len(sizes)
+    found = add_columns(known, ["text"], made, compute, ["id", "label"]).toArrow()
+    term, often = (
+        np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in found.column(c).chunks)])
+        for c in ("numbers", "counts")
+    )
+    sizes = np.array([n for x in found.column("numbers").chunks for n in x.value_lengths().to_pylist()], np.int64)
     ids, marks = found.column("id").to_pylist(), found.column("label").to_pylist()
-    return Index.of(vocabulary, frequency, total, ids, marks, sizes, term, count)
+    del found
+    frequency, total = document_frequency(docs.select(F.col(text).alias("text")), shared, len(vocabulary))
+    return Index.of(vocabulary, frequency, total, ids, marks, sizes, term, often)
 
 
 def score(

@@ -136,6 +136,14 @@ def test_toxicity_of_mostly_toxic_labels(spark):
     assert all(out[i].predicted == 0 and not out[i].evidence for i in (300, 301, 302))
 
 
+def test_toxicity_counts_terms_in_all_documents(spark):
+    docs = docs_of(spark, ["red fox", "blue fox", *["red red"] * 7, None])
+    index = toxicity.train(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
+    factor = toxicity.strength(np.array([1]), np.array([0]), 1, 1)[0]
+    assert index.idf[index.vocabulary["red"]] == pytest.approx((np.log(11 / 9) + 1) * factor)
+    assert index.idf[index.vocabulary["blue"]] == pytest.approx((np.log(11 / 2) + 1) * factor)
+
+
 def test_gumbel_top_is_exact(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)] + [(1, 1.0)] * 3, "doc_id long, log_weight double")
     for k in (0, 1, 100, 503, 900):
