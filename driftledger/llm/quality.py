@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from .common import SPACED, Words, add_columns, hashed_sample, row_chunks, stored, utf8
+from .common import SPACED, Words, add_columns, row_chunks, stored, utf8
 
-#: Hashed n-grams of the two models, and the bound of labelled target rows.
-WIDTH, TARGET_ROWS = 1 << 14, 50_000
+#: Hashed n-grams of the two models.
+WIDTH = 1 << 14
 SMOOTHING = 1.0
 
 
@@ -111,16 +111,15 @@ def gumbel_top(scored: DataFrame, k: int, doc_id: str = "doc_id", weight: str =
 
 def resample(
     docs: DataFrame, labels: DataFrame, share: float = 0.5, doc_id: str = "doc_id", text: str = "text",
-    label: str = "quality", rows: int = TARGET_ROWS,
+    label: str = "quality",
 ) -> DataFrame:
     """One row per document: id, ``log_weight``, ``n_grams``, ``key``, ``selected`` (a ``share`` of all rows).
 
-    The target model is fitted on about ``rows`` documents labelled 1, the raw model on all documents.
+    The target model is fitted on all documents labelled 1, the raw model on all documents.
     Null and empty texts have weight 0 and take part in the draw; so does everything if nothing is
     labelled 1. A row without id is drawn like the others. An empty table stays empty.
     """
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(doc_id).distinct()
-    good = F.broadcast(hashed_sample(good, doc_id, rows))
     target = ngram_counts(docs.select(doc_id, text).join(good, doc_id, "left_semi"), text)
     ratio = log_ratio(target, ngram_counts(docs, text))
     scored = weights(docs.select(doc_id, text), ratio, text, [doc_id])

@@ -161,6 +161,15 @@ def test_quality(spark):
     assert quality.resample(docs_of(spark, EDGES).limit(0), labels).count() == 0
 
 
+def test_quality_learns_from_all_good_documents(spark):
+    docs = spark.range(104_000, numPartitions=4).selectExpr("id as doc_id", "concat('w', id % 97, ' v', id % 89) as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2 = 0) as quality")
+    ratio = quality.log_ratio(quality.ngram_counts(docs.where("doc_id % 2 = 0")), quality.ngram_counts(docs))
+    want = dict(quality.weights(docs.where("doc_id < 500"), ratio).select("doc_id", "log_weight").collect())
+    got = quality.resample(docs, labels).where("doc_id < 500").select("doc_id", "log_weight").collect()
+    assert all(abs(want[i] - w) < 1e-9 for i, w in got) and len(got) == 500
+
+
 def removed_by_hand(texts, length):
     bodies = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
