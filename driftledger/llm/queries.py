@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, curriculum, decontam, language, packing, quality, simhash, suffixes, toxicity, urls
+from . import balltree, curriculum, decontam, language, negatives, packing, quality, simhash, spelling, substrings
+from . import suffixes, toxicity, urls
 from .common import WORD, crc_mod, stored, table
 
 URL_RULES = [
@@ -101,10 +102,24 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), slip=199)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", noisy), "vec_id % 50 = 0")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_language_id, op3_quality_resampling, op4_toxicity, op5_suffix_dedup, op6_curriculum_mix,
         op7_simhash, op8_ball_tree_top_k, op9_shard_packing, op10_winnowing,
+        op11_spelling_variants, op12_hard_negatives, op13_substring_dedup,
     )
 }
