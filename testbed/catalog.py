@@ -18,7 +18,7 @@ from driftledger.plans.compare import diff, diff_snapshots
 from driftledger.plans.compare import diff_summary as diff_counts
 from driftledger.plans.monitor import replay, watch
 from driftledger.plans.scan import ingest_snapshot
-from driftledger.sources import journal, rulefile, store
+from driftledger.sources import filehash, journal, rulefile, store
 from driftledger.sources.workdir import fresh_path
 from driftledger.streaming import runner
 
@@ -296,6 +296,23 @@ def hash_enrich(spark, d):
     )
 
 
+@query
+def hash_files(spark, d):
+    """Digests of real files, read chunk by chunk where they lie."""
+    rows, root = derive.document_files(spark, d)
+    found = filehash.hash_files(rows, {"D:": root}, "sha512")
+    return found.select(
+        "volume", "frn", "path", "outcome", "sha256", F.length("digest2").alias("digest2_length"), "bytes_read"
+    )
+
+
+@query
+def tree_files(spark, d):
+    """The same files found by walking their folder: names, sizes, nothing left out."""
+    _, root = derive.document_files(spark, d)
+    return filehash.read_tree(spark, root, "D:").where("not is_dir").select("volume", "path", "name", "size")
+
+
 @query
 def hash_stats(spark, d):
     return enrich.hash_stats(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -283,5 +285,37 @@ def event_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Inventory of files that lie below a folder, one per document, and that folder.
+
+    Some are empty, cannot be found, begin with a dot or an underscore, or start with MZ. Every task writes
+    the files of its rows.
+    """
+    root = fresh_path(spark, "files")
+    d = F.col("doc_id")
+    mark = F.when(d % 9 == 0, F.lit("_")).when(d % 10 == 0, F.lit(".")).otherwise(F.lit(""))
+    path = _text("D:", BS, "dir", d % 7, BS, mark, "f", d, _pick(d % 8, DOC_EXT))
+    body = F.when(d % 29 == 0, F.lit("")).when(d % 17 == 0, F.concat(F.lit("MZ"), "text")).otherwise(F.col("text"))
+    body = F.encode(F.coalesce(body, F.lit("")), "UTF-8")
+    rows = table(spark, sf_dir, "documents").select(
+        F.lit(1).cast("long").alias("snapshot_id"), F.lit("D:").alias("volume"), (d + 1000).alias("frn"), path.alias("path"),
+        F.length(body).cast("long").alias("size"), (d % 11 == 0).alias("is_dir"),
+        F.when(d % 13 == 0, F.lit("stale")).alias("sha256"), F.lit(None).cast("string").alias("digest2"),
+    )
+    written = table(spark, sf_dir, "documents").where(d % 23 != 0).select(path.alias("path"), body.alias("body"))
+
+    def write(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["body"]):
+                target = os.path.join(root, *name.split(BS)[1:])
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as out:
+                    out.write(content)
+            yield batch[["path"]].head(0)
+
+    written.mapInPandas(write, "path string").count()
+    return rows, root
+
+
 def documents_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.content_digests(documents_content(spark, sf_dir))
