@@ -39,19 +39,29 @@ def content_digests(content: DataFrame, second_digest: str | None = None) -> Dat
     )
 
 
+def one_per_path(digests: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """One row per key; of several the same one in every run."""
+    rest = [c for c in digests.columns if c not in key]
+    picked = digests.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row"))
+    return picked.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in digests.columns])
+
+
 def with_outcome(files: DataFrame, digests: DataFrame) -> DataFrame:
     """Files with ``outcome``: hashed, skipped, failed, or null when not a candidate.
 
-    ``digests`` has one row per ``(volume, path)``; a path that many rows share is a skewed
+    A path that ``digests`` lists more than once counts once; one that many rows share is a skewed
     left side, which adaptive execution can split.
     """
-    d = digests.select(
-        F.xxhash64("volume", "path").alias("_slot"),
-        F.col("volume").alias("_volume"),
-        F.col("path").alias("_path"),
-        F.col("is_mz").alias("_is_mz"),
-        F.col("new_sha256").alias("_sha256"),
-        F.col("new_digest2").alias("_digest2"),
+    d = one_per_path(
+        digests.select(
+            F.xxhash64("volume", "path").alias("_slot"),
+            F.col("volume").alias("_volume"),
+            F.col("path").alias("_path"),
+            F.col("is_mz").alias("_is_mz"),
+            F.col("new_sha256").alias("_sha256"),
+            F.col("new_digest2").alias("_digest2"),
+        ),
+        ("_slot", "_path", "_volume"),
     )
     f = files.withColumn("_row_slot", F.xxhash64("volume", "path"))
     joined = f.join(

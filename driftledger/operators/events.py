@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, values
 from ..model import SIZE_LIMIT, WatchOptions
+from .enrich import one_per_path
 from .rules import PathFilter
 from .selection import filter_volumes
 
@@ -147,13 +148,14 @@ def event_digests(content: DataFrame) -> DataFrame:
 def enrich_events(events: DataFrame, digests: DataFrame) -> DataFrame:
     """Add ``sha256_hex`` and ``size`` where the file qualifies and can still be read.
 
-    Digests of a fleet have a ``host`` as its events do.
+    Digests of a fleet have a ``host`` as its events do. A file that is listed twice counts once.
     """
     d = digests.withColumnRenamed("volume", "_volume").withColumnRenamed("path", "_path")
     same = (events["path"] == F.col("_path")) & (events["volume"] == F.col("_volume"))
     if host_key(events) and host_key(digests):
         d = d.withColumn("_host", F.coalesce("host", F.lit(""))).drop("host")
         same &= events["host"] == F.col("_host")
+    d = one_per_path(d, tuple(c for c in ("_path", "_volume", "_host") if c in d.columns))
     joined = events.join(d, same, "left")
     take = F.col("_path").isNotNull() & enrichable(
         F.col("kind"), F.col("path"), F.col("_size"), F.col("_is_mz")

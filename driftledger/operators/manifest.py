@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, values
 from .diff import category_rank
-from .enrich import pe_like
+from .enrich import one_per_path, pe_like
+from .events import host_key
 from .ranking import rank_in_groups
 
-ORDER = ("category_rank", "volume", "_path_order", "_first_frn", "_second_frn", "side_rank")
+#: Report order: a change after the other, its sides next to each other.
+ORDER = ("category_rank", "volume", "change_path", "change_frn", "change_other_frn", "side_rank")
 
 MANIFEST_COLUMNS = (
-    "category_rank", "side_rank", "kind", "side", "original_path", "volume", "frn", "size",
+    "category_rank", "change_path", "change_frn", "change_other_frn", "side_rank", "kind", "side", "original_path", "volume", "frn", "size",
     "mtime", "sha256_hex", "target_name",
 )
 
@@ -30,9 +32,9 @@ def changed_sides(changes: DataFrame) -> DataFrame:
     base = changes.withColumns(
         {
             "category_rank": category_rank(F.col("category")),
-            "_path_order": F.when(by_path, F.col("before_path")).otherwise(F.lit("")),
-            "_first_frn": F.coalesce("before_frn", "after_frn"),
-            "_second_frn": F.coalesce("after_frn", F.lit(0)),
+            "change_path": F.when(by_path, F.col("before_path")).otherwise(F.lit("")),
+            "change_frn": F.coalesce("before_frn", "after_frn"),
+            "change_other_frn": F.coalesce("after_frn", F.lit(0)),
         }
     )
 
@@ -51,7 +53,7 @@ def changed_sides(changes: DataFrame) -> DataFrame:
         base.withColumn("_side", F.explode(F.array(side(0, "before"), side(1, "after"))))
         .filter(F.col("_side.frn").isNotNull())
         .select(
-            "category_rank", "volume", "kind", "_path_order", "_first_frn", "_second_frn",
+            "category_rank", "volume", "kind", "change_path", "change_frn", "change_other_frn",
             "_side.*",
         )
     )
@@ -62,8 +64,8 @@ def triage_sides(changes: DataFrame, digests: DataFrame | None = None) -> DataFr
     sides = changed_sides(changes)
     if digests is None:
         return sides.filter(paths.has_pe_path_extension(F.col("original_path")))
-    magic = digests.select(
-        F.col("volume").alias("_volume"), F.col("path").alias("_path"), "is_mz"
+    magic = one_per_path(
+        digests.select(F.col("volume").alias("_volume"), F.col("path").alias("_path"), "is_mz"), ("_path", "_volume")
     )
     joined = sides.join(
         magic,
@@ -119,7 +121,8 @@ def manifest(changes: DataFrame, digests: DataFrame | None = None) -> DataFrame:
 
 
 def in_report_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("category_rank", "volume", "original_path", "frn", "side_rank")
+    """The before side of a change right ahead of its after side, whatever their paths are."""
+    return rows.orderBy(*ORDER)
 
 
 def _numbered_markers(sides: DataFrame) -> DataFrame:
@@ -213,26 +216,28 @@ def _settle(family: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def collect_content(selected: DataFrame, content: DataFrame) -> DataFrame:
-    """``target_name, content`` of the selected rows, once per name.
+def pick_sources(selected: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """``target_name`` and the one file its bytes come from: ``volume``, ``path``, and ``host`` where there is one.
 
-    The name is made unique on keys alone; bytes take part in one join and no aggregation.
-    ``selected`` has ``target_name, volume`` and ``original_path`` (or ``path``).
+    ``selected`` has ``target_name, volume`` and ``original_path`` (or ``path``). Names in ``taken`` are left out.
     """
     path = "original_path" if "original_path" in selected.columns else "path"
-    once = (
-        selected.groupBy("target_name")
-        .agg(F.min(F.struct("volume", path)).alias("_source"))
-        .select(
-            "target_name",
-            F.col("_source.volume").alias("_volume"),
-            F.col("_source")[path].alias("_path"),
-        )
-    )
-    return once.join(
-        content.filter(F.col("content").isNotNull()),
-        (F.col("_path") == content["path"]) & (F.col("_volume") == content["volume"]),
-    ).select("target_name", "content")
+    place = [F.col("volume"), F.col(path).alias("path"), *(F.col(c) for c in host_key(selected))]
+    once = selected.groupBy("target_name").agg(F.min(F.struct(*place)).alias("_source")).select("target_name", "_source.*")
+    return once if taken is None else once.join(taken.select("target_name"), "target_name", "left_anti")
+
+
+def collect_content(selected: DataFrame, content: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """``target_name, content`` of the selected rows, once per name.
+
+    The name is made unique on keys alone, and only the files picked by then are read further: bytes take
+    part in one join and no aggregation. A file that ``content`` lists twice counts once. Where the bytes lie
+    in a folder, :func:`driftledger.sources.filehash.copy_files` copies them without any row of bytes.
+    """
+    once = pick_sources(selected, taken)
+    key = ["path", "volume", *(c for c in host_key(once) if c in content.columns)]
+    found = once.join(content.filter(F.col("content").isNotNull()).select(*key, "content"), key)
+    return found.select("target_name", "content").dropDuplicates(["target_name"])
 
 
 def event_manifest(enriched: DataFrame) -> DataFrame:
@@ -242,6 +247,7 @@ def event_manifest(enriched: DataFrame) -> DataFrame:
         F.unix_seconds("ts").alias("timestamp"),
         "kind",
         "volume",
+        *host_key(enriched),
         F.col("path").alias("original_path"),
         "renamed_from",
         "size",

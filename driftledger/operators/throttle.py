@@ -3,12 +3,15 @@
 The rule is sequential within a key, and one key may hold a third of all rows, so a fold over
 whole keys does not scale. It is cut into spans of time instead:
 
-1. Timestamps are reduced to the distinct ones per key, before and after the shuffle.
+1. Timestamps are reduced to the distinct ones per key, before and after the shuffle; events are
+   joined to the emitted ones at the end, so spans hold nothing but timestamps.
 2. Every span collects its own timestamps plus the *halo*: those of the previous span's last
    window. Only an emission inside the halo can influence the span.
 3. A span with an empty halo is independent. For the others, a vectorised helper maps every
    possible last emission in the halo to the last emission the span would end with.
-4. Those maps, a few numbers per span, are followed from span to span.
+4. Maps of neighbouring spans are composed pairwise: each round doubles the spans a map reaches
+   back over, and a map that has become a single number takes no part any more. The rounds follow
+   the logarithm of the longest run of spans that depend on each other; no key is walked.
 5. Every span, its entry known, folds its own timestamps.
 
 All groups are bounded by the number of distinct microseconds in a span, whatever the skew.
@@ -16,14 +19,13 @@ All groups are bounded by the number of distinct microseconds in a span, whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import floor_div
+from ..sources.workdir import fresh_path
 
 # Windows per span: longer spans mean fewer boundaries, shorter ones smaller groups.
 WINDOWS_PER_SPAN = 16
@@ -46,32 +48,25 @@ def throttle(
     instants = events.groupBy(F.unix_micros("ts").alias("_us"), *key).agg(
         F.min(F.struct(*order, *rest)).alias("_first")
     )
-    spans = _spans(instants, window, width, key)
+    spans = _spans(events.select(F.unix_micros("ts").alias("_us"), *key).distinct(), window, width, key)
     entries = _entries(spans, window, width, key)
-    own = F.filter("_rows", lambda r: r["_us"] >= F.col("_span") * F.lit(width))
-    row_type = f"array<{spans.schema['_rows'].dataType.elementType.simpleString()}>"
+    own = F.filter("_times", lambda us: us >= F.col("_span") * F.lit(width))
     fold = F.aggregate(
         own,
-        F.struct(
-            F.coalesce("_entry", F.lit(NEVER)).alias("last"),
-            F.array().cast(row_type).alias("out"),
-        ),
-        lambda acc, r: F.when(
-            r["_us"] >= acc["last"] + F.lit(window),
-            F.struct(r["_us"].alias("last"), F.array_append(acc["out"], r).alias("out")),
+        F.struct(F.coalesce("_entry", F.lit(NEVER)).alias("last"), F.array().cast("array<long>").alias("out")),
+        lambda acc, us: F.when(
+            us >= acc["last"] + F.lit(window), F.struct(us.alias("last"), F.array_append(acc["out"], us).alias("out"))
         ).otherwise(acc),
         lambda acc: acc["out"],
     )
-    emitted = spans.join(entries, ["_span", *key], "left").select(
-        *key, F.explode(fold).alias("_row")
-    )
-    return emitted.select(
-        *[F.col(c) if c in key else F.col("_row._first")[c].alias(c) for c in events.columns]
+    emitted = spans.join(entries, ["_span", *key], "left").select(*key, F.explode(fold).alias("_us"))
+    return emitted.join(instants, ["_us", *key]).select(
+        *[F.col(c) if c in key else F.col("_first")[c].alias(c) for c in events.columns]
     )
 
 
 def _spans(instants: DataFrame, window: int, width: int, key: tuple[str, ...]) -> DataFrame:
-    """Rows of every span by time, its halo included; spans without own rows are dropped."""
+    """Timestamps of every span in order, its halo included; spans without own ones are dropped."""
     us = F.col("_us")
     span = floor_div(us, width)
     in_last_window = us >= (span + 1) * F.lit(width) - F.lit(window)
@@ -79,29 +74,71 @@ def _spans(instants: DataFrame, window: int, width: int, key: tuple[str, ...]) -
     return (
         instants.withColumn("_span", F.explode(members))
         .groupBy("_span", *key)
-        .agg(F.sort_array(F.collect_list(F.struct("_us", "_first"))).alias("_rows"))
-        .filter(F.element_at("_rows", -1)["_us"] >= F.col("_span") * F.lit(width))
+        .agg(F.sort_array(F.collect_list("_us")).alias("_times"))
+        .filter(F.element_at("_times", -1) >= F.col("_span") * F.lit(width))
     )
 
 
 def _entries(spans: DataFrame, window: int, width: int, key: tuple[str, ...]) -> DataFrame:
     """Last emission before each span, where there is one that matters."""
     start = F.col("_span") * F.lit(width)
-    has_halo = F.element_at("_rows", 1)["_us"] < start
-    feeds_next = F.element_at("_rows", -1)["_us"] >= start + F.lit(width - window)
+    has_halo = F.element_at("_times", 1) < start
+    feeds_next = F.element_at("_times", -1) >= start + F.lit(width - window)
     maps = (
         spans.filter(has_halo | feeds_next)
-        .select(
-            *key, "_span", _transfer(window, width)("_span", F.col("_rows._us")).alias("_map")
-        )
+        .select(*key, "_span", _transfer(window, width)("_span", "_times").alias("_map"))
         .select(*key, "_span", "_map.enter", "_map.leave")
     )
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in spans.select(*key).schema]
-    return (
-        maps.repartition(*key)
-        .sortWithinPartitions(*key, "_span")
-        .mapInPandas(_follow(key), ", ".join([*fields, "_span long", "_entry long"]))
-    )
+    return composed(maps, key).select(
+        *key, (F.col("_span") + 1).alias("_span"), F.element_at("leave", 1).alias("_entry")
+    ).filter(F.col("_entry") > NEVER)
+
+
+def composed(maps: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """``maps`` (``_span``, ``enter``, ``leave``), each composed with those of all adjacent spans before it.
+
+    What comes before the first span of a run is ``NEVER``, so every map ends as one number. A round joins
+    open maps, which reach back over as many spans as rounds have doubled, with those right before them.
+    """
+    current, reach = _written(maps, "maps"), 1
+    while True:
+        known = F.size("enter") == 1
+        open_maps = current.filter(~known)
+        if open_maps.isEmpty():
+            return current
+        before = current.select(
+            *key, (F.col("_span") + reach).alias("_span"), F.col("enter").alias("_enter"), F.col("leave").alias("_leave")
+        )
+        joined = open_maps.join(before, [*key, "_span"], "left")
+        step = joined.select(
+            *key, "_span", _after().alias("_map")
+        ).select(*key, "_span", "_map.enter", "_map.leave")
+        current, reach = _written(current.filter(known).unionByName(step), "maps"), 2 * reach
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back, so that rounds do not pile up in one plan."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _after() -> Column:
+    """The later map after the earlier one; after nothing, what it gives for ``NEVER``."""
+
+    @F.pandas_udf("struct<enter: array<long>, leave: array<long>>")
+    def after(enter: pd.Series, leave: pd.Series, enter_before: pd.Series, leave_before: pd.Series) -> pd.DataFrame:
+        out_enter, out_leave = [], []
+        for e, x, e0, x0 in zip(enter, leave, enter_before, leave_before):
+            if e0 is None:
+                e0 = x0 = np.array([NEVER])
+            exits = np.asarray(x)[np.searchsorted(e, x0, side="right") - 1]
+            steps = np.concatenate([[True], exits[1:] != exits[:-1]])
+            out_enter.append(np.asarray(e0)[steps])
+            out_leave.append(exits[steps])
+        return pd.DataFrame({"enter": out_enter, "leave": out_leave})
+
+    return after("enter", "leave", "_enter", "_leave")
 
 
 def _transfer(window: int, width: int) -> Column:
@@ -142,25 +179,3 @@ def span_map(
     first = np.searchsorted(own, entries + window)
     last = own[jump[np.minimum(first, n - 1)]]
     return entries, np.where((first < n) & (last >= end - window), last, NEVER)
-
-
-def _follow(key: tuple[str, ...]):
-    """Walk the sorted maps of a partition, carrying one number from span to span."""
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, carried = None, NEVER
-        for batch in batches:
-            keys = list(zip(*[batch[k] for k in key]))
-            spans = batch["_span"].to_numpy()
-            entries = np.full(len(batch), NEVER, dtype=np.int64)
-            for i, (enter, leave) in enumerate(zip(batch["enter"], batch["leave"])):
-                here = (keys[i], int(spans[i]))
-                if at is None or at != (here[0], here[1] - 1):
-                    carried = NEVER
-                entries[i] = carried
-                carried = leave[np.searchsorted(enter, carried, side="right") - 1]
-                at = here
-            batch = batch[[*key, "_span"]].assign(_entry=entries)
-            yield batch[batch["_entry"] > NEVER]
-
-    return follow

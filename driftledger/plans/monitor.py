@@ -8,7 +8,7 @@ from ..model import WatchOptions
 from ..operators import events as ops
 from ..operators.rules import PathFilter, check_rules, path_filter
 from ..operators.throttle import throttle
-from ..streaming.stateful import pair_renames_stream, throttle_stream
+from ..streaming.stateful import in_time_order, pair_renames_stream, throttle_stream
 
 
 def replay(
@@ -26,14 +26,21 @@ def watch(
     options: WatchOptions | None = None,
     mount: Column | None = None,
     state_ttl: str = "1 day",
+    lateness: str | None = None,
 ) -> DataFrame:
     """The same events from a stream of change records.
 
+    With ``lateness`` (``"10 minutes"``), records that arrive out of order by up to that much are put in
+    order first, at the price of so much delay; then the stream equals the replay. Without it events
+    come out at once, and a late record is compared with what its micro-batch brings.
+
     Old names must reach the pairing state although they are never emitted, so pairing comes
     before the filter here. Events other than renames skip that state altogether.
     """
     options = options or WatchOptions()
     prepared = ops.prepare_records(records, options, mount)
+    if lateness:
+        prepared = in_time_order(prepared, lateness)
     paired = pair_renames_stream(prepared, state_ttl)
     kept = ops.emitted(paired, _checked_filter(records, options))
     return throttle_stream(kept, options.window_ms, state_ttl)

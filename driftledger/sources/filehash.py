@@ -8,6 +8,7 @@ are never opened, and a candidate that is not executable-like costs its first tw
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -46,6 +47,10 @@ class _Second:
         return self.state.hexdigest() if self.state else None
 
 
+def _open(place: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
+
+
 def _location(path: str, volume: str, roots: Mapping[str, str]) -> str | None:
     """Where the file lies; null for paths of unknown volumes or that climb out of their root."""
     top = volume + BACKSLASH
@@ -61,7 +66,7 @@ def digest_file(location: str | None, by_name: bool, second: str | None) -> tupl
     try:
         if location is None:
             raise OSError("no such volume")
-        system, path = fs.FileSystem.from_uri(location) if "://" in location else (fs.LocalFileSystem(), location)
+        system, path = _open(location)
         with system.open_input_stream(path, buffer_size=0) as stream:
             chunk = stream.read(2)
             read = len(chunk)
@@ -123,6 +128,54 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array | None:
     return batch.column(name) if name in batch.schema.names else None
 
 
+def copy_file(location: str | None, target: str) -> tuple[str, int]:
+    """What became of one copy, and its bytes. A copy that is there already is left alone.
+
+    The bytes go to a name of their own first and are renamed when complete, so a copy that was killed half
+    way is none, and one that is made twice at a time is still the same file.
+    """
+    part = f"{target}.{uuid.uuid4().hex}.part"
+    try:
+        if location is None:
+            raise OSError("no such volume")
+        out, to = _open(target)
+        if out.get_file_info(to).type == fs.FileType.File:
+            return "kept", 0
+        system, path = _open(location)
+        copied = 0
+        with system.open_input_stream(path, buffer_size=0) as source, out.open_output_stream(_open(part)[1]) as sink:
+            while chunk := source.read(CHUNK):
+                sink.write(chunk)
+                copied += len(chunk)
+        out.move(_open(part)[1], to)
+        return "copied", copied
+    except (OSError, pa.ArrowInvalid) as error:
+        return f"<error: {error}>", 0
+
+
+def copy_files(picked: DataFrame, roots: Mapping[str, str], target: str) -> DataFrame:
+    """``target_name``, ``result`` (copied, kept, or an error text) and ``bytes``: every name once below ``target``.
+
+    ``picked`` has ``target_name, volume, path``, one row per name (``pick_sources``). No bytes become rows.
+    """
+    where, folder = dict(roots), target.rstrip("/")
+    system, path = _open(folder)
+    system.create_dir(path, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, volumes, files = (batch.column(c).to_pylist() for c in ("target_name", "volume", "path"))
+            done = [copy_file(_location(f, v, where), f"{folder}/{n}") for n, v, f in zip(names, volumes, files)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([r for r, _ in done], pa.string()), pa.array([b for _, b in done], pa.int64())],
+                ["target_name", "result", "bytes"],
+            )
+
+    tasks = picked.sparkSession.sparkContext.defaultParallelism
+    chosen = picked.select("target_name", "volume", "path").repartition(max(1, tasks))
+    return chosen.mapInArrow(run, "target_name string, result string, bytes long")
+
+
 class TreeSource(DataSource):
     """``spark.read.format("file_tree").option("root", …).option("volume", …).load()``: files and folders below a root.
 
@@ -149,10 +202,6 @@ class _Share(InputPartition):
         self.entries = entries
 
 
-def _open(root: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-
-
 class _TreeReader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]):
         self.root = options["root"].rstrip("/")

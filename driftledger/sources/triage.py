@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.enrich import content_digests
-from ..operators.manifest import collect_content, in_report_order, manifest
+from ..operators.manifest import ORDER, collect_content, in_report_order, manifest
+
+ORDER_ONLY = [c for c in ORDER if c != "volume"]
 
 
 def with_copy_result(rows: DataFrame, content: DataFrame | None) -> DataFrame:
@@ -18,7 +20,7 @@ def with_copy_result(rows: DataFrame, content: DataFrame | None) -> DataFrame:
         return rows.withColumn("dumped_to", F.col("target_name"))
     known = content.filter(F.col("content").isNotNull()).select(
         F.col("volume").alias("_volume"), F.col("path").alias("_path")
-    )
+    ).distinct()
     joined = rows.join(
         known,
         (F.col("original_path") == F.col("_path")) & (F.col("volume") == F.col("_volume")),
@@ -41,7 +43,7 @@ def dump_changes(changes: DataFrame, path: str, content: DataFrame | None = None
     digests = None if content is None else content_digests(content)
     rows = with_copy_result(manifest(changes, digests), content)
     target = f"{path}/manifest"
-    in_report_order(rows).drop("category_rank", "side_rank", "target_name").write.mode(
+    in_report_order(rows).drop(*ORDER_ONLY, "target_name").write.mode(
         "overwrite"
     ).option("ignoreNullFields", "false").json(target)
     if content is not None:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.query import StreamingQueryException
 
 from ..operators.events import enrich_events, event_digests, host_key
-from ..operators.manifest import collect_content, event_manifest
+from ..operators.manifest import collect_content, event_manifest, pick_sources
 
 
 def event_rows(events: DataFrame) -> DataFrame:
@@ -54,26 +55,35 @@ def write_events_with_triage(
 ) -> StreamingQuery:
     """Events, manifest rows and collected bytes out of every micro-batch.
 
-    ``content`` is called once per batch, so that a batch sees the files as they are then. It
-    gets the batch's distinct ``volume, path`` and may return just those files; what else it
-    returns is dropped before any digest is computed. Each batch owns a folder named by its
-    number; a batch that is run again after a failure overwrites its folder instead of adding
-    to it.
+    ``content`` gets distinct ``volume, path`` (and ``host``, where records have one) and returns the files as
+    they are then; what else it returns is dropped before any digest is computed. It is called for the
+    batch's files, and, to collect bytes, once more for those alone whose name no earlier batch has
+    collected: a name is copied once over the whole watch.
+
+    Each batch owns a folder named by its number. A batch that is run again after a failure replaces its own
+    folder and looks at those of smaller numbers only, so it neither loses nor doubles a name.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        wanted = batch.filter(F.col("kind") != "Deleted").select("volume", "path").distinct()
-        source = content(wanted).join(wanted, ["path", "volume"], "left_semi")
-        enriched = enrich_events(batch, event_digests(source)).persist()
+        place = ["path", "volume", *host_key(batch)]
+        wanted = batch.filter(F.col("kind") != "Deleted").select(*place).distinct()
+
+        def read(files: DataFrame) -> DataFrame:
+            source = content(files)
+            return source.join(files, [c for c in place if c in source.columns], "left_semi")
+
+        enriched = enrich_events(batch, event_digests(read(wanted))).persist()
         try:
             _write_json(event_rows(enriched), f"{path}/events/batch_id={batch_id}")
             rows = event_manifest(enriched)
             _write_json(rows, f"{path}/manifest/batch_id={batch_id}")
             if collect:
-                wanted = rows.withColumnRenamed("dumped_to", "target_name")
-                collect_content(wanted, source).write.mode("overwrite").parquet(
-                    f"{path}/files/batch_id={batch_id}"
-                )
+                named = rows.withColumnRenamed("dumped_to", "target_name")
+                taken = collected_names(batch.sparkSession, f"{path}/files", batch_id)
+                picked = pick_sources(named, taken).persist()
+                source = read(picked.select(*place).distinct())
+                collect_content(picked, source).write.mode("overwrite").parquet(f"{path}/files/batch_id={batch_id}")
+                picked.unpersist()
         finally:
             enriched.unpersist()
 
@@ -85,6 +95,18 @@ def write_events_with_triage(
     return _start(writer, available_now)
 
 
+def collected_names(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Names that batches before ``batch_id`` have collected; no bytes are read."""
+    schema = "target_name string, content binary, batch_id long"
+    try:
+        files = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], schema)
+    return files.filter(F.col("batch_id") < batch_id).select("target_name")
+
+
 def _write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

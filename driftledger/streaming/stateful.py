@@ -51,6 +51,79 @@ def set_up_state(df: DataFrame) -> None:
     conf.set(_EMPTY_BATCHES, "false")
 
 
+class Hold(StatefulProcessor):
+    """Records wait in a list until the watermark has passed them; late ones go on at once.
+
+    Every key lets go of the same stretch of time in the same micro-batch, so that what follows sees
+    time in order over all keys.
+    """
+
+    def __init__(self, columns: tuple[str, ...], schema: str) -> None:
+        self.columns, self.schema = list(columns), schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        passed = timerValues.getCurrentWatermarkInMs()
+        first = None
+        for part in rows:
+            part = part[self.columns]
+            due = part["at_us"] <= passed * 1000
+            if due.any():
+                yield part[due]
+            part = part[~due]
+            if len(part):
+                self.waiting.appendList(_tuples(part))
+                least = int(part["at_us"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.columns) if self.waiting.exists() else None
+        if held is None or not len(held):
+            return
+        due = held["at_us"] <= passed * 1000
+        rest = held[~due]
+        if len(rest):
+            self.waiting.put(_tuples(rest))
+            self.handle.registerTimer(-(-int(rest["at_us"].min()) // 1000))
+        else:
+            self.waiting.clear()
+        yield held[due]
+
+    def close(self) -> None:
+        pass
+
+
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    """Rows as plain values; what is missing is None."""
+    return list(rows.astype(object).where(rows.notna(), None).itertuples(index=False, name=None))
+
+
+def in_time_order(prepared: DataFrame, lateness: str) -> DataFrame:
+    """A stream whose micro-batches follow each other in record time.
+
+    A record waits until one that is ``lateness`` younger has come, so records may arrive out of order by
+    that much. Later ones are not lost, they only come out of order. The state is what arrives in
+    ``lateness``; records behind the last watermark stay in it until newer ones come.
+    """
+    conf = prepared.sparkSession.conf
+    conf.set(_STATE_PROVIDER, _ROCKSDB)
+    columns = (*(c for c in prepared.columns if c != "ts"), "at_us")
+    kinds = {"usn": "long", "frn": "long", "reason": "long", "at_us": "long"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns)
+    # without the time column itself no record counts as too late and is dropped
+    timed = prepared.withWatermark("ts", lateness).withColumn("at_us", F.unix_micros("ts")).select(*columns)
+    held = timed.groupBy("volume", "frn", *host_key(prepared)).transformWithStateInPandas(
+        statefulProcessor=Hold(columns, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+    return held.withColumn("ts", F.timestamp_micros("at_us")).select(*prepared.columns)
+
+
 class LastOldName(StatefulProcessor):
     """Renamed rows get the latest earlier old name of their file."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftledger.functions import paths, values
 from driftledger.model import FILE_SCHEMA, DiffOptions, Rule, ScanOptions, WatchOptions
 from driftledger.operators import diff as diffs
-from driftledger.operators import enrich, events, ingest, manifest, report, rules, selection
+from driftledger.operators import enrich, events, ingest, manifest, ranking, report, rules, selection
 from driftledger.operators.throttle import throttle
 from driftledger.plans.compare import diff, diff_snapshots
 from driftledger.plans.compare import diff_summary as diff_counts
@@ -501,6 +501,40 @@ def event_stream(spark, d):
     return spark.read.schema(found.schema).parquet(os.path.join(out, "rows"))
 
 
+@query
+def event_stream_unordered(spark, d):
+    """The watch over records that arrive out of order, in several micro-batches: late by up to two days.
+
+    Two last files hold one record each, far in the future, that is no event: they move the clock on.
+    """
+    rows = derive.records(spark, d)
+    folder = fresh_path(spark, "unordered")
+    day = F.floor(F.unix_seconds("ts") / 86400)
+    late = F.pmod(F.xxhash64("usn"), F.lit(3))
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    # a record comes with its own two days, or with the next ones
+    turn = F.floor((day + F.when(late == 0, 2).otherwise(0) - first) / F.lit(max(1, (last - first) // 3)))
+    numbered = rows.withColumn("turn", F.least(turn, F.lit(3)))
+    for k in range(4):
+        part = numbered.where(F.col("turn") == k).drop("turn").repartition(1, F.xxhash64("usn"))
+        part.write.mode("append").parquet(folder)
+    ending = rows.limit(1).withColumns({"reason": F.lit(0).cast("long"), "ts": F.lit("2200-01-01").cast("timestamp")})
+    for _ in range(2):
+        ending.coalesce(1).write.mode("append").parquet(folder)
+    out = fresh_path(spark, "event-stream")
+    source = journal.stream_records(spark, folder, max_files_per_trigger=1)
+    found = _flat(watch(source, WatchOptions(window_ms=HOUR_MS), lateness="3 days"))
+    running = (
+        found.writeStream.format("parquet")
+        .option("path", os.path.join(out, "rows"))
+        .option("checkpointLocation", os.path.join(out, "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(found.schema).parquet(os.path.join(out, "rows"))
+
+
 @query
 def event_jsonl(spark, d):
     """Two record streams merged into one watch; its JSON lines read back."""
@@ -530,6 +564,34 @@ def triage_manifest(spark, d):
     )
 
 
+@query
+def triage_order(spark, d):
+    """Place of every manifest row in the report: the two sides of a change follow each other."""
+    changes = diff(*derive.documents_pair(spark, d))
+    rows = manifest.manifest(changes, derive.documents_digests(spark, d)).withColumn("report", F.lit(1))
+    placed = ranking.rank_in_groups(rows, ["report"], list(manifest.ORDER), "place")
+    return placed.select("place", F.col("category_rank").alias("cat"), "side", "volume", "frn", "original_path")
+
+
+@query
+def triage_stream(spark, d):
+    """Bytes collected by a watch in several micro-batches, each name once over all of them."""
+    content = derive.event_content(spark, d)
+    folder, out = fresh_path(spark, "records"), fresh_path(spark, "triage")
+    rows = derive.records(spark, d)
+    low, high = rows.agg(F.min("usn"), F.max("usn")).first()
+    turn = F.floor((F.col("usn") - low) * 4 / (high - low + 1))
+    for k in range(4):
+        rows.where(turn == k).coalesce(1).write.mode("append").parquet(folder)
+    found = watch(journal.stream_records(spark, folder, max_files_per_trigger=1), WatchOptions(window_ms=HOUR_MS))
+    runner.write_events_with_triage(
+        found, lambda wanted: content, out, os.path.join(out, "checkpoint"), available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/files").select(
+        "target_name", F.length("content").cast("long").alias("n_bytes"), values.sha256_hex(F.col("content")).alias("sha256")
+    )
+
+
 @query
 def manifest_events(spark, d):
     found = replay(derive.records(spark, d), WatchOptions(window_ms=HOUR_MS))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftledger import Rule, WatchOptions, replay
 from driftledger.model import CHANGE_RECORD_SCHEMA
 from driftledger.operators import events as ops
-from driftledger.operators.throttle import throttle
+from driftledger.operators.throttle import NEVER, composed, throttle
 
 T0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 CLOSE, CREATE, DELETE, OLD, NEW, EXTEND, BASIC = 0x80000000, 0x100, 0x200, 0x1000, 0x2000, 0x2, 0x8000
@@ -114,3 +114,40 @@ def test_replay_filters_before_throttle_and_sees_the_new_path_only(records):
     }
     late = replay(records(rows), WatchOptions(start_ts="2024-01-01 00:00:00.055", include_self=True))
     assert sorted(r.usn for r in late.collect()) == [7, 8]
+
+
+@pytest.mark.parametrize("spans", [1, 5])
+def test_throttle_of_one_hot_key(spark, spans):
+    """Eight of ten records on one key, each within a window of the one before: one long run of open spans."""
+    rng = random.Random(spans)
+    times, at = [], 1_700_000_000_000
+    for _ in range(1500):
+        at += rng.choice([100, 250, 399, 400, 650, 799])
+        times.append(at)
+    rows = [(n, t, "hot" if n % 10 < 8 else f"p{n % 7}") for n, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "usn long, ms long, path string").select(
+        "usn", F.timestamp_millis("ms").alias("ts"), F.lit("C:").alias("volume"), F.lit(1).alias("frn"), F.lit("Modified").alias("kind"), "path"
+    )
+    want, last = set(), {}
+    for n, t, p in rows:
+        if p not in last or t - last[p] >= 800:
+            last[p] = t
+            want.add(n)
+    assert {r.usn for r in throttle(df, 800, windows_per_span=spans).collect()} == want
+
+
+def test_maps_are_composed_in_few_rounds(spark):
+    """A run of 200 maps that all depend on the one before: what comes out is the walk from its start."""
+    rng = random.Random(3)
+    rows, last = [], {}
+    for key, length in (("a", 200), ("b", 1), ("c", 37)):
+        state = NEVER
+        for span in range(length):
+            enter = [NEVER, *sorted(rng.sample(range(1000), 5))]
+            leave = [rng.choice([NEVER, *range(0, 1000, 7)]) for _ in enter]
+            rows.append((key, span, enter, leave))
+            state = leave[max(i for i, e in enumerate(enter) if e <= state)]
+            last[key, span] = state
+    maps = spark.createDataFrame(rows, "key string, _span long, enter array<long>, leave array<long>")
+    got = composed(maps, ("key",)).collect()
+    assert {(r.key, r._span): r.leave for r in got} == {k: [v] for k, v in last.items()}
