@@ -78,24 +78,44 @@ def test_language_edges(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
-def test_nearest_is_exact():
+def index_by_hand(texts, labels, corpus):
+    """Plain TF-IDF vectors of the examples, by dictionaries."""
+    df = Counter(t for c in corpus for t in set(toxicity.terms(c)))
+    space = {t for x in texts for t in toxicity.terms(x)}
+
+    def vector(text):
+        c = Counter(t for t in toxicity.terms(text) if t in space)
+        v = {t: (1 + np.log(n)) * (np.log((1 + len(corpus)) / (1 + df[t])) + 1) for t, n in c.items()}
+        length = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / length for t, x in v.items()}
+
+    return vector, [vector(x) for x in texts]
+
+
+def test_nearest_is_exact_and_blocks_are_skipped():
     r = random.Random(3)
-    vocabulary = {f"t{i}": i for i in range(30)}
-    examples = [(i, r.randint(0, 1), {r.randrange(30): r.randint(1, 4) for _ in range(r.randint(0, 6))}) for i in range(700)]
-    index = toxicity.Index.build(vocabulary, [r.randint(5, 90) for _ in range(30)], 700, examples)
-    vectors = {}
-    for i, _, c in examples:
-        if c:
-            n, w = toxicity.unit(c, index.idf)
-            vectors[i] = dict(zip(n.tolist(), w.tolist()))
-    place = {int(i): p for p, i in enumerate(index.ids)}
-    for _ in range(60):
-        n, w = toxicity.unit({r.randrange(30): r.randint(1, 4) for _ in range(r.randint(1, 6))}, index.idf)
-        want = sorted(
-            ((-round(sum(x * v.get(t, 0) for t, x in zip(n.tolist(), w.tolist())), 9), place[i]) for i, v in vectors.items())
-        )[:15]
-        got = index.nearest(n, w, 15)
-        assert [round(-s, 9) for s, _ in got] == [s for s, _ in want if s]
+    topics = [[f"{chr(97 + k)}{chr(97 + i)}x" for i in range(26)] for k in range(12)]
+    texts = [" ".join(r.choice(topics[i % 12] + ["the", "of"]) for _ in range(r.randint(1, 40))) for i in range(900)]
+    labels = [r.randint(0, 1) for _ in texts]
+    names = [toxicity.hashed(t) for t in texts]
+    vocabulary, term = np.unique(np.concatenate([n for n, _ in names]), return_inverse=True)
+    frequency = np.bincount(np.concatenate([np.searchsorted(vocabulary, n) for n, _ in names]))
+    index = toxicity.Index.of(
+        vocabulary, frequency, len(texts), list(range(900)), labels, [len(n) for n, _ in names], term,
+        np.concatenate([c for _, c in names]),
+    )
+    vector, known = index_by_hand(texts, labels, texts)
+    asked = texts[:40] + ["the", "zzz", "", "abx zzz of of"]
+    got = index.nearest_of([index.vector(t) for t in asked], 15)
+    for text, found in zip(asked, got):
+        own = vector(text)
+        scores = ((-round(sum(x * v.get(t, 0) for t, x in own.items()), 9), i) for i, v in enumerate(known))
+        want = sorted(x for x in scores if x[0])[:15]
+        assert [s for s, _ in found] == pytest.approx([-s for s, _ in want], abs=1e-8)
+        if not want:
+            continue
+        assert {int(index.ids[p]) for s, p in found if s > -want[-1][0] + 1e-8} == {i for s, i in want if s < want[-1][0] - 1e-8}
+    assert index.skipped > index.read / 4
 
 
 def test_toxicity(spark):
@@ -114,13 +134,36 @@ def test_toxicity(spark):
 
 def test_toxicity_compares_whole_texts(spark):
     # no term tells the labels apart beyond chance, and yet every text has its nearest examples
-    docs = docs_of(spark, ["red fox", "blue whale", "green frog", "red fox jumps", "whale", "unheard " * 3, "green " + "q" * 200])
+    texts = ["red fox", "blue whale", "green frog", "red fox jumps", "whale", "unheard " * 3, "green " + "q" * 200]
+    docs = docs_of(spark, texts)
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "doc_id long, toxic int")
     out = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     assert [out[i].evidence[0].id for i in (0, 1, 2, 3, 4, 6)] == [0, 1, 2, 0, 1, 2] and not out[5].evidence
-    assert round(out[0].evidence[0].cosine, 9) == 1
-    # words that no example has count for the length of a text
-    assert out[3].evidence[0].cosine < 0.9 and out[6].evidence[0].cosine < 0.7
+    vector, known = index_by_hand(texts[:3], [0, 0, 1], texts)
+    for i, t in enumerate(texts):
+        want = sorted((round(s, 9) for v in known if (s := sum(x * v.get(w, 0) for w, x in vector(t).items()))), reverse=True)
+        assert [e.cosine for e in out[i].evidence] == pytest.approx(want, abs=1e-8)
+
+
+def test_toxicity_query_equals_plain_cosines(spark):
+    """Every document's evidence on the whole smallest tables, against dictionaries."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = dict(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect())
+    taught = {i: y for i, y in labels.items() if y is not None and i in docs and zlib.crc32(str(i).encode()) % 5}
+    index = toxicity.train(
+        spark.read.parquet(f"{SF}/documents.parquet"),
+        spark.createDataFrame(list(taught.items()), "doc_id long, toxic int"),
+    )
+    got = toxicity.score(spark.read.parquet(f"{SF}/documents.parquet"), index, k=10).collect()
+    single = {}
+    for i in index.ids.tolist():
+        single[docs[i]] = i
+    vector, known = index_by_hand(list(single), None, list(docs.values()))
+    assert len(got) == len(docs) and set(single) == {docs[i] for i in taught if toxicity.terms(docs[i])}
+    for r in got:
+        own = vector(r.text)
+        scores = [sum(x * v.get(t, 0) for t, x in own.items()) for v in known]
+        assert [e.cosine for e in r.evidence] == pytest.approx(sorted((s for s in scores if s), reverse=True)[:10], abs=1e-8)
 
 
 def test_toxicity_of_mostly_toxic_labels(spark):
@@ -139,9 +182,16 @@ def test_toxicity_of_mostly_toxic_labels(spark):
 def test_toxicity_counts_terms_in_all_documents(spark):
     docs = docs_of(spark, ["red fox", "blue fox", *["red red"] * 7, None])
     index = toxicity.train(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
-    factor = toxicity.strength(np.array([1]), np.array([0]), 1, 1)[0]
-    assert index.idf[index.vocabulary["red"]] == pytest.approx((np.log(11 / 9) + 1) * factor)
-    assert index.idf[index.vocabulary["blue"]] == pytest.approx((np.log(11 / 2) + 1) * factor)
+
+    def idf(word):
+        return index.idf[np.searchsorted(index.vocabulary, toxicity.hashed(word)[0][0])]
+
+    assert idf("red") == pytest.approx(np.log(11 / 9) + 1) and idf("blue") == pytest.approx(np.log(11 / 2) + 1)
+
+
+def test_terms_of_scripts_without_spaces():
+    assert toxicity.terms("Ein Wort, 中文字 ไทย é") == ["ein", "wort", "中文", "文字", "ไท", "ทย", "é"]
+    assert toxicity.terms("字") == ["字"] and toxicity.terms(None) == [] == toxicity.terms("12 _ ")
 
 
 def test_gumbel_top_is_exact(spark):
