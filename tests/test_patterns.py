@@ -71,7 +71,7 @@ def test_bad_rules_are_named(spark):
         compile_rules([Rule("regex", "(x")])
     with pytest.raises(PatternError, match="bad glob"):
         compile_rules([Rule("glob", "{a")])
-    with pytest.raises(ValueError, match="unknown kind"):
+    with pytest.raises(ValueError, match="is no kind of rule"):
         compile_rules([Rule("like", "a")])
     check_rules(spark, compile_rules([Rule("regex", r"C:\Noise\.*"), Rule("glob", "a*")]))
     with pytest.raises(PatternError):
