@@ -50,6 +50,15 @@ def unpack(packed: bytes, size: int = 8) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_rising(values: np.ndarray) -> bytes:
+    """``pack`` of the steps between ascending values, which are small."""
+    return pack(np.diff(values, prepend=0), 4)
+
+
+def unpack_rising(packed: bytes, size: int = 4) -> np.ndarray:
+    return np.cumsum(unpack(packed, size).astype(np.int64))
+
+
 def lengths_of(length: int, base: int) -> list[int]:
     """Window lengths from ``base`` on, doubled up to ``length``."""
     found = [min(base, length)]
@@ -69,7 +78,7 @@ def _shares(slot: np.ndarray, chunk: int, key: np.ndarray, at: np.ndarray, bytes
     own, begin = np.unique(slot[order], return_index=True)
     out = []
     for s, some in zip(own.tolist(), np.split(order, begin[1:])):
-        out.append((s, chunk, SHARE, pack(key[some], bytes_), pack(at[some], 4), *(pack(x[some]) for x in more)))
+        out.append((s, chunk, SHARE, pack(key[some], bytes_), pack_rising(at[some]), *(pack(x[some]) for x in more)))
         if not more:
             out[-1] += (None, None)
     return out
@@ -99,7 +108,7 @@ def _first_level(width: int, slots: int, size: int, chunk_bytes: int):
                 _, first, number, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
                 again = np.flatnonzero(times[number] > 1)
                 if len(again):  # the chunk itself repeats them
-                    rows.append((chunk % slots, chunk, LOCAL, pack(name[again]), pack(at[again], 4), None, None))
+                    rows.append((chunk % slots, chunk, LOCAL, pack(name[again]), pack_rising(at[again]), None, None))
                 first = np.sort(first)
                 yield _batch(rows + _shares(slot[first], chunk, value[first], at[first], size))
                 chunk += 1
@@ -129,7 +138,7 @@ def _by(column: str, close: Callable[[list[dict]], list[tuple]]):
 
 def _join(rows: list[dict], column: str, size: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """All values of a column, and the number of the row each comes from."""
-    parts = [unpack(r[column], size) for r in rows]
+    parts = [unpack_rising(r[column]) if column == "at" else unpack(r[column], size) for r in rows]
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
@@ -155,12 +164,12 @@ def _answers(rows: list[dict], size: int, last: bool) -> list[tuple]:
         found = np.sort(order[~(fresh & np.append(fresh[1:], True))])
     if not len(found):
         return out
-    at = _join(rows, "at", 4)[0][found]
+    at = _join(rows, "at")[0][found]
     name = key[found] ^ np.uint64(slot << 40) if size < 8 else key[found]
     cut = np.flatnonzero(np.append(True, owner[found][1:] != owner[found][:-1]))
     for some in np.split(np.arange(len(found)), cut[1:]):
         chunk = rows[owner[found[some[0]]]]["chunk"]
-        out.append((slot, chunk, ANSWER, None if last else pack(name[some]), pack(at[some], 4), None, None))
+        out.append((slot, chunk, ANSWER, None if last else pack(name[some]), pack_rising(at[some]), None, None))
     return out
 
 
@@ -170,7 +179,7 @@ def _windows_of(rows: list[dict]) -> tuple[dict, np.ndarray, np.ndarray]:
     rest = [r for r in rows if r["part"] != HEADER]
     if not rest:
         return header, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, once = np.unique(_join(rest, "at", 4)[0].astype(np.int64), return_index=True)
+    at, once = np.unique(_join(rest, "at")[0], return_index=True)
     name = _join(rest, "key")[0][once] if rest[0]["key"] is not None else np.zeros(len(at), np.uint64)
     return header, at, name
 
@@ -197,7 +206,7 @@ def _double(step: int, slots: int, last: bool):
             _, first, number, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             again = np.flatnonzero(times[number] > 1)
             if len(again):
-                out.append((home, chunk, LOCAL, pack(key[again]), pack(at[again], 4), None, None))
+                out.append((home, chunk, LOCAL, pack(key[again]), pack_rising(at[again]), None, None))
             first = np.sort(first)
             return out + _shares(slot[first], chunk, key[first], at[first], 8)
         ids = unpack(header["key"]).view(np.int64)[row]
@@ -207,7 +216,7 @@ def _double(step: int, slots: int, last: bool):
         begin = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         later = np.sort(order[(ids[order] != ids[order[begin]]) | (starts[order] != starts[order[begin]])])
         if len(later):  # the chunk itself has an earlier one
-            out.append((home, chunk, LOCAL, None, pack(at[later], 4), None, None))
+            out.append((home, chunk, LOCAL, None, pack_rising(at[later]), None, None))
         # rows of one id and start that are equally early all wait for the answer
         wait = np.setdiff1d(np.arange(len(at)), later)
         more = (ids[wait].view(np.uint64), starts[wait])
