@@ -10,6 +10,7 @@ calibrated score and the evidence for it.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, fields
@@ -29,8 +30,9 @@ from .common import add_columns, hashed_sample, stored
 TRAIN_ROWS, TRAIN_BYTES = 4096, 64 << 20
 #: A shared term votes by ``BASE`` and by what its log odds ratio exceeds ``SURE`` standard errors by.
 BASE, SURE = 0.01, 3.0
-#: Examples that vote; terms read by blocks (the most frequent ones); examples per block; texts looked up together.
-NEIGHBOURS, FREQUENT, BLOCK, BATCH = 100, 512, 64, 128
+#: Examples that vote, and those named as evidence; terms read by blocks (the most frequent ones); examples per
+#: block; texts looked up together.
+NEIGHBOURS, EVIDENCE, FREQUENT, BLOCK, BATCH = 100, 10, 512, 64, 128
 #: Least votes of either side, and how much the calibration is held to small values.
 _LEAST, _RIDGE = 0.01, 1e-3
 _TERM = re.compile(r"[^\W\d_]+")
@@ -150,10 +152,10 @@ class Index:
             part = np.concatenate([self.weights[x] for x in spans]) * np.repeat(weights, end - begin)
             row += np.bincount(np.concatenate([self.seats[x] for x in spans]), part, len(row))
 
-    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """The ``k`` nearest examples (cosine, seat) of each vector, exactly; ties go to the smaller id."""
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ``k`` nearest examples (cosines, seats) of each vector, exactly; ties go to the smaller id."""
         if not len(self.ids) or not vectors:
-            return [[] for _ in vectors]
+            return [(np.zeros(0), np.zeros(0, np.int64)) for _ in vectors]
         if self.dense is None:
             self.fill()
         n, width = len(vectors), self.blocks * BLOCK
@@ -185,7 +187,7 @@ class Index:
                 some = np.flatnonzero(row > 0)
             own = np.round(row[some], 12)
             order = np.lexsort((self.ids[some], -own))[:k]
-            out.append(list(zip(own[order].tolist(), some[order].tolist())))
+            out.append((own[order], some[order]))
         return out
 
     def _read(self, wanted: np.ndarray, query: np.ndarray, scores: np.ndarray) -> None:
@@ -208,13 +210,12 @@ class Index:
         weights = (1 + np.log(counts[known][order])) * self.idf[numbers]
         return numbers, weights / (np.sqrt((weights * weights).sum()) or 1.0)
 
-    def votes(self, vector: tuple[np.ndarray, np.ndarray], found: list[tuple[float, int]]) -> float:
+    def votes(self, vector: tuple[np.ndarray, np.ndarray], cosine: np.ndarray, seat: np.ndarray) -> float:
         """Log of the votes for toxic over those for clean."""
         numbers, weights = vector
         tells = self.strong[numbers] > 0
         shared = np.zeros(len(self.ids))
         self._add(shared, numbers[tells], weights[tells] * self.strong[numbers[tells]])
-        cosine, seat = (np.array(x) for x in zip(*found))
         vote = (BASE * cosine + shared[seat]) / (1.05 - np.minimum(cosine, 1.0))
         toxic = self.labels[seat] > 0
         return float(np.log((vote[toxic].sum() + _LEAST) / (vote[~toxic].sum() + _LEAST)))
@@ -229,15 +230,18 @@ class Index:
             nearest = self.nearest_of(vectors, k + (own is not None))
             known = dict(zip(single, zip(vectors, nearest)))
             for i, text in enumerate(part, low):
-                vector, found = known[text]
+                vector, (cosine, seat) = known[text]
                 if own is not None:
-                    found = [x for x in found if self.ids[x[1]] != own[i]][:k]
-                if not found:
+                    other = self.ids[seat] != own[i]
+                    cosine, seat = cosine[other][:k], seat[other][:k]
+                if not len(seat):
                     out.append((self.empty, [], None))
                     continue
-                vote = self.votes(vector, found)
-                score = 1 / (1 + np.exp(-np.clip(self.slope[0] + self.slope[1] * vote, -30, 30)))
-                out.append((float(score), [(int(self.ids[p]), int(self.labels[p]), s) for s, p in found], vote))
+                vote = self.votes(vector, cosine, seat)
+                score = 1 / (1 + math.exp(-min(max(self.slope[0] + self.slope[1] * vote, -30), 30)))
+                shown = seat[:EVIDENCE]
+                evidence = list(zip(self.ids[shown].tolist(), self.labels[shown].tolist(), cosine[:EVIDENCE].tolist()))
+                out.append((score, evidence, vote))
         return out
 
 
@@ -335,7 +339,7 @@ def score(
 ) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``.
 
-    ``evidence`` lists the nearest examples: id, label, cosine. A text that shares no term with an
+    ``k`` examples vote, and ``evidence`` lists the nearest of them (``EVIDENCE``): id, label, cosine. A text that shares no term with an
     example (also null or empty) scores as the labelled examples without terms do, and has no evidence;
     without any example every text scores 0. Equal texts score alike. Columns of these names are replaced.
     """

@@ -106,7 +106,7 @@ def test_nearest_is_exact_and_blocks_are_skipped():
     )
     vector, known = index_by_hand(texts, labels, texts)
     asked = texts[:40] + ["the", "zzz", "", "abx zzz of of"]
-    got = index.nearest_of([index.vector(t) for t in asked], 15)
+    got = [list(zip(*x)) for x in index.nearest_of([index.vector(t) for t in asked], 15)]
     for text, found in zip(asked, got):
         own = vector(text)
         scores = ((-round(sum(x * v.get(t, 0) for t, x in own.items()), 9), i) for i, v in enumerate(known))
