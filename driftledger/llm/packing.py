@@ -20,9 +20,8 @@ BUNDLES = 256
 _DIMS = ("size", "tokens", "rows")
 #: Bytes are the law, so their balance weighs most.
 _WEIGHTS = (512.0, 1.0, 1.0)
-#: Groups up to a share of a shard's capacity are placed whole; a smaller share is tried while a shard's
-#: bytes are further from the mean than this.
-WHOLE, UNEVEN = (1 / 4, 1 / 16, 1 / 64), 0.002
+#: Groups up to this share of a shard's capacity are placed whole, larger ones piece by piece.
+WHOLE = 1 / 4
 
 
 def place(demand: np.ndarray, shards: int) -> np.ndarray:
@@ -44,29 +43,19 @@ def place(demand: np.ndarray, shards: int) -> np.ndarray:
 
 
 def place_groups(demand: np.ndarray, groups: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each item, where items of one group number share a shard if the balance allows it.
-
-    The largest share of ``WHOLE`` is taken at which the bytes come out near equal; if none does, every
-    item is placed by itself.
-    """
-    chosen = np.zeros(len(demand), np.int64)
+    """Shard of each item; items of one group number share one, unless the group is above ``WHOLE``."""
     if not len(demand):
-        return chosen
+        return np.zeros(0, np.int64)
     number, own = np.unique(groups, return_inverse=True)
     whole = np.zeros((len(number), demand.shape[1]))
     np.add.at(whole, own, demand)
     capacity = np.maximum(demand.sum(axis=0) / shards, 1e-9)
     largest = (whole / capacity).max(axis=1)[own]
-    for share in (*WHOLE, 0.0):
-        # units: whole groups, and single items of the groups above the share
-        unit = np.unique(np.where(largest <= share, own, len(number) + np.arange(len(demand))), return_inverse=True)[1]
-        units = np.zeros((unit.max() + 1, demand.shape[1]))
-        np.add.at(units, unit, demand)
-        chosen = place(units, shards)[unit]
-        filled = np.bincount(chosen, demand[:, 0], shards) / capacity[0]
-        if np.abs(filled - 1).max() <= UNEVEN:
-            break
-    return chosen
+    # units: whole groups, and single items of the groups above the share
+    unit = np.unique(np.where(largest <= WHOLE, own, len(number) + np.arange(len(demand))), return_inverse=True)[1]
+    units = np.zeros((unit.max() + 1, demand.shape[1]))
+    np.add.at(units, unit, demand)
+    return place(units, shards)[unit]
 
 
 def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", bundles: int = BUNDLES) -> DataFrame:
@@ -74,41 +63,55 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", bundles: int = B
 
     ``docs`` has ``size`` (bytes), ``tokens`` and two group keys ``g1``, ``g2`` that are equal for equal
     texts. A group larger than a bundle's share of all bytes or rows (``1 / (shards * bundles)``) is cut
-    into pieces of about that share by a hash of the id, so that no task holds a large group; the pieces
-    still share a shard, unless the group is so large that the bytes would become uneven (``WHOLE``).
-    Slots follow the items' order, inside an item the group keys and ids. Equal rows share a
-    consecutive run of slots. An empty table stays empty. Existing columns ``shard`` and ``slot`` are
-    replaced.
+    into pieces of about that share by a hash of the id, so that no task holds a large group; rows of an
+    id (null is one) that alone are above the share are told apart by a stored row number. The pieces share
+    a shard, unless the group is above ``WHOLE`` of a shard. Slots follow the items' order, inside an item
+    the group keys, ids and row numbers. An empty table stays empty. Existing columns ``shard`` and
+    ``slot`` are replaced; any other column goes through as it is.
 
-    The driver holds at most about three items per bundle: large groups cannot be more than twice as
-    many as there are shares.
+    The driver holds at most about three items per bundle: large groups, and ids above a share, cannot be
+    more than twice as many as there are shares.
     """
     spark = docs.sparkSession
     count = shards * bundles
-    docs = docs.drop("shard", "slot")
-    groups = stored(
-        docs.groupBy("g1", "g2").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "shard-groups"
-    )
+    # callers' columns travel in one struct, so their names cannot meet the ones made here
+    docs = stored(
+        docs.drop("shard", "slot").select(
+            F.struct("*").alias("doc"), "g1", "g2", F.col(doc_id).alias("id"), "size", "tokens",
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "shard-rows",
+    )
+    sums = [F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")]
+    groups = stored(docs.groupBy("g1", "g2").agg(*sums), "shard-groups")
     total = groups.agg(F.sum("size"), F.sum("rows")).first()
     byte_share, row_share = (max(1.0, (x or 0) / count) for x in total)
+    above = (F.col("size") > byte_share) | (F.col("rows") > row_share)
     # fewer than 2 * count groups can be above one of the two shares: bounded on the driver and as a broadcast
-    large = groups.where((F.col("size") > byte_share) | (F.col("rows") > row_share)).select(
+    large = groups.where(above).select(
         "g1",
         "g2",
         F.least(
             F.col("rows"), F.ceil(F.greatest(F.col("size") / byte_share, F.col("rows") / row_share))
-        ).cast("long").alias("_pieces"),
+        ).cast("long").alias("pieces"),
     )
-    piece = F.pmod(F.xxhash64(F.lit("piece"), doc_id), F.col("_pieces"))
-    keyed = docs.join(F.broadcast(large), ["g1", "g2"], "left").withColumn(
-        "_item",
-        F.when(F.col("_pieces").isNull(), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.pmod("g1", F.lit(count)).alias("c")))
+    keyed = docs.join(F.broadcast(large), ["g1", "g2"], "left")
+    # the same bound holds for ids
+    repeated = (
+        keyed.where("pieces is not null").groupBy("g1", "g2", "id").agg(*sums).where(above & (F.col("rows") > 1))
+        .select("g1", "g2", "id", F.lit(True).alias("repeated"))
+    ).alias("r")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("g1", "g2", "id")]
+    keyed = keyed.alias("k").join(F.broadcast(repeated), same, "left").select("k.*", "r.repeated")
+    piece = F.pmod(F.xxhash64(F.lit("piece"), "id", F.when(F.col("repeated"), F.col("row"))), F.col("pieces"))
+    none = F.lit(0).cast("long")
+    keyed = keyed.withColumn(
+        "item",
+        F.when(F.col("pieces").isNull(), F.struct(none.alias("a"), none.alias("b"), F.pmod("g1", F.lit(count)).alias("c")))
         .otherwise(F.struct(F.col("g1").alias("a"), F.col("g2").alias("b"), (piece + count).alias("c"))),
-    ).drop("_pieces")
-    sums = (
-        keyed.groupBy("_item").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    ).toPandas()
-    items = sums["_item"].map(lambda x: (x["a"], x["b"], x["c"]))
+    ).drop("pieces", "repeated")
+    sums = keyed.groupBy("item").agg(*sums, F.sum("tokens").alias("tokens")).toPandas()
+    items = sums["item"].map(lambda x: (x["a"], x["b"], x["c"]))
     sums = sums.assign(key=items).sort_values("key", ignore_index=True)
     demand = sums[list(_DIMS)].fillna(0).to_numpy(dtype=np.float64).reshape(-1, len(_DIMS))
     # bundles stand alone; the pieces of a large group have its keys
@@ -118,11 +121,11 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", bundles: int = B
     sums["start"] = sums.groupby("shard")["rows"].cumsum() - sums["rows"]
     placed = spark.createDataFrame(
         [(*k, int(s), int(o)) for k, s, o in zip(sums["key"], sums["shard"], sums["start"])],
-        "a long, b long, c long, shard int, _start long",
-    ).select(F.struct("a", "b", "c").alias("_item"), "shard", "_start")
-    inside = Window.partitionBy("_item").orderBy("g1", "g2", doc_id)
+        "a long, b long, c long, shard int, start long",
+    ).select(F.struct("a", "b", "c").alias("item"), "shard", "start")
+    inside = Window.partitionBy("item").orderBy("g1", "g2", "id", "row")
     return (
-        keyed.withColumn("_n", F.row_number().over(inside))
-        .join(F.broadcast(placed), "_item")
-        .select(*docs.columns, "shard", (F.col("_start") + F.col("_n") - 1).alias("slot"))
+        keyed.withColumn("n", F.row_number().over(inside))
+        .join(F.broadcast(placed), "item")
+        .select("doc.*", "shard", (F.col("start") + F.col("n") - 1).alias("slot"))
     )

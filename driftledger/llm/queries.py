@@ -82,7 +82,7 @@ def shard_input(docs: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
-    placed = packing.shard(stored(shard_input(docs), "shard-input"), SHARDS)
+    placed = packing.shard(shard_input(docs), SHARDS)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
