@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
@@ -18,6 +18,8 @@ from .common import SPACED, Words, add_columns, row_chunks, stored, utf8
 #: Hashed n-grams of the two models.
 WIDTH = 1 << 14
 SMOOTHING = 1.0
+#: Cells that ids are hashed to: so many a row, up to a bound (two bits each, 16 MB in all).
+CELLS_PER_ROW, CELLS = 16, 1 << 26
 
 
 def _buckets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -50,6 +52,41 @@ def ngram_counts(docs: DataFrame, text: str = "text", width: int = WIDTH) -> np.
     return out
 
 
+def _bit(bits: str, place: Column) -> Column:
+    """Whether bit ``place`` of the bitmap is set."""
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
+
+
+def good_texts(
+    docs: DataFrame, good: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text", bound: int = CELLS
+) -> tuple[DataFrame, DataFrame]:
+    """Id and text of the documents whose id is in ``good`` (distinct): those told where they are read, and the rest.
+
+    Ids alone are joined. They are hashed to cells, and two bitmaps tell which cells hold good ids and
+    which others. A document in a cell of good ids only is good, in one without any it is not; only the
+    texts of mixed cells are joined by id. Past the bound, more cells are mixed and more texts move.
+    """
+    cells = max(1, min(bound, CELLS_PER_ROW * rows))
+    cell = F.pmod(F.xxhash64(doc_id), F.lit(cells)) + 1
+    known = docs.where(F.col(doc_id).isNotNull())
+    told = known.select(doc_id).distinct().join(good.withColumn("_good", F.lit(True)), doc_id, "left")
+    place = F.bitmap_bit_position("_cell")
+    maps = (
+        told.select(F.bitmap_bucket_number(cell).alias("_map"), cell.alias("_cell"), "_good").repartition("_map").groupBy("_map")
+        .agg(
+            F.bitmap_construct_agg(F.when(F.col("_good"), place)).alias("_yes"),
+            F.bitmap_construct_agg(F.when(F.col("_good").isNull(), place)).alias("_no"),
+        )
+    )
+    maps = F.broadcast(stored(maps, "good-cells"))
+    own = known.select(doc_id, text, F.bitmap_bucket_number(cell).alias("_map"), cell.alias("_cell")).join(maps, "_map")
+    near = own.where(_bit("_yes", place))
+    mixed = near.where(_bit("_no", place)).select(doc_id, text)
+    # a semi-join would be pushed below the maps and move every text
+    return near.where(~_bit("_no", place)).select(doc_id, text), mixed.join(good, doc_id)
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Log of target over raw probability per n-gram, smoothed by the raw distribution."""
     share = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * len(raw))
@@ -119,8 +156,10 @@ def resample(
     Null and empty texts have weight 0 and take part in the draw; so does everything if nothing is
     labelled 1. A row without id is drawn like the others. An empty table stays empty.
     """
+    rows = docs.count()
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(doc_id).distinct()
-    target = ngram_counts(docs.select(doc_id, text).join(good, doc_id, "left_semi"), text)
+    told, joined = good_texts(docs, good, rows, doc_id, text)
+    target = ngram_counts(told.unionByName(joined), text)
     ratio = log_ratio(target, ngram_counts(docs, text))
     scored = weights(docs.select(doc_id, text), ratio, text, [doc_id])
-    return gumbel_top(scored, round(share * docs.count()), doc_id)
+    return gumbel_top(scored, round(share * rows), doc_id)

@@ -221,6 +221,25 @@ def test_quality_learns_from_all_good_documents(spark):
     assert all(abs(want[i] - w) < 1e-9 for i, w in got) and len(got) == 500
 
 
+def test_quality_moves_few_texts(spark):
+    docs = spark.range(20_000, numPartitions=4).selectExpr("nullif(id, 5) as doc_id", "concat('w', id % 97) as text")
+    docs = docs.unionByName(docs.where("doc_id % 1000 = 1"))
+    good = docs.where("doc_id % 3 = 0").select("doc_id").distinct().unionByName(spark.createDataFrame([(-4,)], "doc_id long"))
+    want = Counter((r.doc_id, r.text) for r in docs.join(good, "doc_id", "left_semi").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bound in (1, 1 << 12, quality.CELLS):
+            told, joined = quality.good_texts(docs, good, 20_020, bound=bound)
+            moved = joined.count()
+            assert Counter((r.doc_id, r.text) for r in told.unionByName(joined).collect()) == want
+        assert moved < 0.1 * want.total()
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (told, joined)]
+        assert "Exchange hashpartitioning" not in plans[0]
+        assert plans[1].index("SortMergeJoin") < plans[1].index("BroadcastHashJoin")  # the texts that move have been sifted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def removed_by_hand(texts, length):
     bodies = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
