@@ -275,6 +275,24 @@ def test_repeats_query(spark):
     assert suffixes.remove_repeats(docs_of(spark, [None]).limit(0)).count() == 0
 
 
+def test_planted_passages(spark):
+    r = random.Random(4)
+
+    def prose(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    # cut to size, between signs that differ; 52 words are 363 bytes
+    texts, want = [prose(300) for _ in range(20)], [(0, 0)] * 20
+    for size in (363, 399, 400, 401, 700):
+        shared, inner = prose(120)[:size], prose(120)[:size]
+        texts += [f"{prose(40)}{sign}{shared}{sign}{prose(40)}" for sign in "012"]
+        texts.append(f"{prose(40)}3{inner}4{prose(40)}5{inner}6")
+        want += [(size, 1)] * 3 + [(2 * size, 2)] if size >= 400 else [(0, 0)] * 4
+    out = {r.doc_id: r for r in suffixes.remove_repeats(docs_of(spark, texts)).collect()}
+    assert [(out[i].n_removed, out[i].n_spans) for i in range(len(texts))] == want
+    assert [out[i].n_bytes for i in range(len(texts))] == [len(t) for t in texts]
+
+
 def test_mix_edges(spark):
     rows = [(1, "a", 10), (1, "a", 10), (2, "a", None), (3, None, 7), (4, "b", 100), (None, "b", 3), (5, "c", 0)]
     out = curriculum.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
