@@ -10,6 +10,7 @@ group go together as long as the shards' bytes stay near equal.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,9 +120,11 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", bundles: int = B
     groups_of = np.array([group[x[:2] if x[2] >= count else x] for x in sums["key"]], np.int64)
     sums["shard"] = place_groups(demand, groups_of, shards)
     sums["start"] = sums.groupby("shard")["rows"].cumsum() - sums["rows"]
+    # an Arrow table becomes a local relation; a list of rows would be unpickled by Python workers of its own
+    columns = [*(list(zip(*sums["key"])) or [[]] * 3), sums["shard"], sums["start"]]
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64()]
     placed = spark.createDataFrame(
-        [(*k, int(s), int(o)) for k, s, o in zip(sums["key"], sums["shard"], sums["start"])],
-        "a long, b long, c long, shard int, start long",
+        pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["a", "b", "c", "shard", "start"])
     ).select(F.struct("a", "b", "c").alias("item"), "shard", "start")
     inside = Window.partitionBy("item").orderBy("g1", "g2", "id", "row")
     return (

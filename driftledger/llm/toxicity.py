@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .balltree import build
-from .common import add_columns, hashed_sample, stored
+from .common import add_columns, bound_batches, hashed_sample, stored
 
 #: Bounds of the model: labelled rows it is fitted on, and bytes of them, about.
 TRAIN_ROWS, TRAIN_BYTES = 4096, 64 << 20
@@ -275,6 +275,7 @@ def document_frequency(docs: DataFrame, vocabulary: Broadcast, width: int) -> tu
             [pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], ["number", "n"]
         )
 
+    bound_batches(docs.sparkSession)
     sums = docs.mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
     number, n = (sums.column(c).to_numpy() for c in ("number", "n"))
     out = np.zeros(width, np.int64)
