@@ -293,6 +293,37 @@ def test_planted_passages(spark):
     assert [out[i].n_bytes for i in range(len(texts))] == [len(t) for t in texts]
 
 
+def test_contexts_of_a_common_passage_are_split(spark):
+    every = spark.range(120_000, numPartitions=12).selectExpr(
+        "if(id % 3 = 0, 7, id % 90000) as h", "if(id % 1000 = 1, 2L, 1L) as m", "id as s"
+    )
+    count = Counter()
+    rows = every.collect()
+    for x in rows:
+        count[x.h] += x.m
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "12",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    kept = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = suffixes.recurring(every).select("h", "m", "s", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(x[:3] for x in got) == sorted(x[:] for x in rows if count[x.h] >= 2)
+    tasks = defaultdict(set)
+    for x in got:
+        tasks[x.h].add(x.task)
+    assert len(tasks[7]) >= 4
+
+
 def test_mix_edges(spark):
     rows = [(1, "a", 10), (1, "a", 10), (2, "a", None), (3, None, 7), (4, "b", 100), (None, "b", 3), (5, "c", 0)]
     out = curriculum.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
