@@ -8,7 +8,7 @@ from ..model import WatchOptions
 from ..operators import events as ops
 from ..operators.rules import PathFilter, check_rules, path_filter
 from ..operators.throttle import throttle
-from ..streaming.stateful import in_time_order, pair_renames_stream, throttle_stream
+from ..streaming.stateful import pair_renames_stream, throttle_stream
 
 
 def replay(
@@ -39,9 +39,7 @@ def watch(
     """
     options = options or WatchOptions()
     prepared = ops.prepare_records(records, options, mount)
-    if lateness:
-        prepared = in_time_order(prepared, lateness)
-    paired = pair_renames_stream(prepared, state_ttl)
+    paired = pair_renames_stream(prepared, state_ttl, lateness)
     kept = ops.emitted(paired, _checked_filter(records, options))
     return throttle_stream(kept, options.window_ms, state_ttl)
 

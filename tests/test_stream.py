@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from driftledger.streaming.runner import (
     write_events,
     write_events_with_triage,
 )
-from driftledger.streaming.stateful import ttl_millis
+from driftledger.streaming.stateful import stretches, ttl_millis
 from testbed import derive
 
 WINDOW = WatchOptions(window_ms=3_600_000)
@@ -103,6 +104,45 @@ def test_late_records_and_hosts_are_kept(spark, tmp_path):
         (h, t) for h in ("h1", "h2") for t in (2, 9.5, 10.5)]
 
 
+def test_held_records_share_calls(spark, tmp_path):
+    """Two thousand files out of order: what waits is a few chunks, and the stream equals the replay."""
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    close, old, new = 0x80000000, 0x1000, 0x2000
+
+    def rows(files, hours):
+        for n in files:
+            at = start + datetime.timedelta(hours=hours + n % 7, seconds=n)
+            frn = (1 << 60) + n
+            yield 10 * n, at, "C:", frn, old, f"C:\\old{n}", "h"
+            yield 10 * n + 1, at, "C:", frn, close | new, f"C:\\new{n}", "h"
+            yield 10 * n + 2, at, "C:", frn, close | 2, f"C:\\new{n}", "h"
+
+    path = str(tmp_path / "in")
+    clock = [(99_999, start + datetime.timedelta(days=9), "C:", 1, 0, "C:\\none", "h")]
+    for part in (rows(range(0, 2000, 2), 8), rows(range(1, 2000, 2), 2), clock, clock):
+        spark.createDataFrame([*part], FLEET_RECORD_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    source = stream_records(spark, path, max_files_per_trigger=1, schema=FLEET_RECORD_SCHEMA)
+    found = watch(source, WINDOW, lateness="1 day")
+    query = write_events(found, str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
+    assert query.awaitTermination(150)
+    got = sorted((*key(r)[:4], r["renamed_from"] or "") for r in map(json.loads, lines(tmp_path / "out")))
+    batch = replay(read_records(spark, path, FLEET_RECORD_SCHEMA), WINDOW).collect()
+    assert got == sorted((int(r.ts.timestamp()), r.volume, r.kind, r.path, r.renamed_from or "") for r in batch)
+    assert len(got) == 4000 and sum(r[4] != "" for r in got) == 2000
+    timers = [op.customMetrics["numRegisteredTimers"] for p in query.recentProgress for op in p.stateOperators]
+    # four buckets for each of four partitions, in a few stretches of time, for renames and for the others
+    assert 0 < max(timers) <= 16 * 18
+
+
+def test_stretches_of_time():
+    part = pd.DataFrame({"at_us": [*range(5000, 0, -1), 1 << 50], "n": range(5001)})
+    cut = [*stretches(part)]
+    assert sorted(n for c in cut for n in c["n"]) == [*range(5001)]
+    ends = [(c["at_us"].iloc[0], c["at_us"].iloc[-1]) for c in cut]
+    assert all(high < low for (_, high), (low, _) in zip(ends, ends[1:]))
+    assert 1 < len(cut) <= 18 and len([*stretches(part[:64])]) == 1 and not [*stretches(part[:0])]
+
+
 def test_state_lifetime_text():
     assert ttl_millis("2 hours") == 7_200_000
     with pytest.raises(ValueError):
