@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..model import CATEGORIES, DiffOptions
 from .rules import PathFilter, path_filter
+from .sift import Marks, id_hash, open_ids, path_hash, shared_paths
 
 SIDE_COLUMNS = ("volume", "frn", "path", "size", "mtime", "sha256", "is_dir")
 REPORT_SIDE = ("frn", "path", "size", "mtime", "sha256")
@@ -145,6 +146,26 @@ def replaced(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataF
     return _report(joined, F.lit("replaced"), F.lit("Replaced"), F.col("before_volume"))
 
 
+def sifted(
+    before: DataFrame, after: DataFrame, options: DiffOptions
+) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Both sides with the rows that changes by id can need, and with those that replaced pairs can need.
+
+    Rows of a cell stay or go on both sides together, so the joins find what they would find in all rows. A
+    row of ``after`` whose id is settled equals one of ``before``, so paths are counted without it.
+    """
+    before, after = (df.select(*SIDE_COLUMNS) for df in (before, after))
+    no_id = F.col("frn").isNull() | F.col("volume").isNull()
+    ids = Marks(open_ids(before, after))
+    by_id = tuple(ids.rows(df, id_hash(), no_id) for df in (before, after))
+    kept = path_filter(options).keep(F.col("path"))
+    held = (_files(df, options) for df in (before, by_id[1]))
+    held = [(df if kept is None else df.filter(kept)).select("volume", "path", "frn") for df in held]
+    paths = Marks(shared_paths(held[0].unionByName(held[1])))
+    by_path = tuple(paths.rows(df, path_hash()) for df in (before, after))
+    return by_id, by_path
+
+
 def counts(before: DataFrame, after: DataFrame, options: DiffOptions) -> DataFrame:
     """Changes per category without building them.
 

@@ -117,7 +117,7 @@ def diff_hidden_paths(spark, d):
 @query
 def diff_inventory(spark, d):
     """The large pair: every lineitem key is a file."""
-    return diff(*derive.lineitem_pair(spark, d))
+    return diff(*derive.lineitem_pair(spark, d), sift=True)
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftledger.operators import enrich, ingest
-from driftledger.sources.workdir import fresh_path
+from driftledger.sources.workdir import fresh_path, stored
 
 BS = "\\"
 # Extension by doc_id % 8
@@ -144,42 +144,56 @@ def documents_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scan records and a large snapshot pair from lineitem; repeated keys exercise the upsert
 
 
-def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scan_name() -> Column:
+    ext = _pick(F.col("l_partkey") % 6, (".exe", ".dll", ".TXT", ".log", "", ".sys"))
+    return _text("p", F.col("l_partkey"), ext)
+
+
+def _scan_path(volume: Column, frn: Column) -> Column:
+    folder = _pick(F.col("l_partkey") % 5, ("Windows", "Users", "Noise", "NoiseButReal", "Temp"))
+    return _text(volume, BS, folder, BS, "d", frn, BS, _scan_name())
+
+
+def _scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan records, and the part their names and paths are made from."""
     frn = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     volume = _text(_pick(F.col("l_orderkey") % 4, ("C", "D", "E", "c")), ":")
-    folder = _pick(F.col("l_partkey") % 5, ("Windows", "Users", "Noise", "NoiseButReal", "Temp"))
-    ext = _pick(F.col("l_partkey") % 6, (".exe", ".dll", ".TXT", ".log", "", ".sys"))
-    name = _text("p", F.col("l_partkey"), ext)
     seq = F.col("l_partkey") * F.lit(10_000_000_000) + F.round(F.col("l_extendedprice") * 100).cast("long")
     lost = (F.col("l_partkey") + F.col("l_suppkey")) % 37 == 0
     return table(spark, sf_dir, "lineitem").select(
         volume.alias("volume"),
         frn.alias("frn"),
         F.col("l_orderkey").alias("parent_frn"),
-        F.when(lost, F.lit("")).otherwise(
-            _text(volume, BS, folder, BS, "d", frn, BS, name)
-        ).alias("path"),
-        name.alias("name"),
+        F.when(lost, F.lit("")).otherwise(_scan_path(volume, frn)).alias("path"),
+        _scan_name().alias("name"),
         F.col("l_quantity").cast("long").alias("size"),
         F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("mtime"),
         F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ctime"),
         F.lit(False).alias("is_dir"),
         seq.alias("seq"),
+        "l_partkey",
     )
 
 
+def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_rows(spark, sf_dir).drop("l_partkey")
+
+
 def lineitem_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """About 2 % of all files in each of several kinds of change.
 
-    The upserted inventory is written once, as a scan would, and read back for both sides.
+    The upserted inventory is written once, as a scan would, and read back for both sides. The upsert moves
+    numbers; names and paths are made of the rows that stay.
     """
-    stored = fresh_path(spark, "inventory")
-    base = ingest.latest_records(scan_records(spark, sf_dir).filter(F.col("path") != "")).withColumn(
+    rows = _scan_rows(spark, sf_dir).filter(F.col("path") != "").select("volume", "frn", "l_partkey", "size", "mtime", "seq")
+    named = ingest.latest_records(rows).withColumns(
+        {"path": _scan_path(F.col("volume"), F.col("frn")), "name": _scan_name(), "is_dir": F.lit(False)}
+    )
+    base = named.withColumn(
         "sha256",
         F.when(F.col("name").rlike("(exe|dll|sys)$"), F.sha2(F.concat("name", F.col("size").cast("string")), 256)),
     ).select("volume", "frn", "path", "size", "mtime", "is_dir", "sha256")
-    base.write.parquet(stored)
-    base = spark.read.schema(base.schema).parquet(stored)
+    base = stored(base, "inventory")
     m = F.col("frn") % 50
     after = base.filter(m != 0).select(
         "volume",
