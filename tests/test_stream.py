@@ -4,9 +4,10 @@ import json
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from driftledger import WatchOptions, replay, watch
-from driftledger.model import FLEET_RECORD_SCHEMA
+from driftledger.model import CHANGE_RECORD_SCHEMA, FLEET_RECORD_SCHEMA
 from driftledger.sources.journal import read_records, stream_records, union_volumes
 from driftledger.streaming.runner import (
     await_sources,
@@ -134,6 +135,26 @@ def test_held_records_share_calls(spark, tmp_path):
     assert 0 < max(timers) <= 16 * 18
 
 
+@pytest.mark.parametrize("lateness", [None, "1 day"])
+def test_records_without_a_time_are_no_events(spark, tmp_path, lateness):
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    schema = StructType([StructField(f.name, f.dataType, True) for f in CHANGE_RECORD_SCHEMA])
+    path = str(tmp_path / "in")
+    for first in (0, 100):
+        rows = [(first + n, None if n % 3 == 0 else start + datetime.timedelta(hours=3 * n + first), "C:", n % 2, 0x80000002, f"C:\\{n % 2}") for n in range(12)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    clock = [(999, start + datetime.timedelta(days=9), "C:", 1, 0, "C:\\none")]
+    for _ in range(2 if lateness else 0):
+        spark.createDataFrame(clock, schema).coalesce(1).write.mode("append").parquet(path)
+    source = stream_records(spark, path, max_files_per_trigger=1, schema=schema)
+    query = write_events(watch(source, WINDOW, lateness=lateness), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
+    assert query.awaitTermination(150)
+    got = sorted((*key(r)[:4], r["renamed_from"] or "") for r in map(json.loads, lines(tmp_path / "out")))
+    batch = replay(read_records(spark, path, schema), WINDOW).collect()
+    assert len(got) == 16
+    assert got == sorted((int(r.ts.timestamp()), r.volume, r.kind, r.path, r.renamed_from or "") for r in batch)
+
+
 def test_stretches_of_time():
     part = pd.DataFrame({"at_us": [*range(5000, 0, -1), 1 << 50], "n": range(5001)})
     cut = [*stretches(part)]
